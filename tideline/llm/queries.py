@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, exact
+from tideline.llm import bpe, exact, packing, repair
 from tideline.llm.common import table, tokenizer_path
 
 
@@ -18,8 +18,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards, _ = repair.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return repair.read_documents(shards)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op2_repair, op3_packing, op6_exact_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
