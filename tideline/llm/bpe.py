@@ -50,7 +50,7 @@ class ByteBpe:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.pattern = regex.compile(PATTERN)
-        self.cache = Generations(250_000)
+        self.cache = Generations(450_000)
 
     # -- long unsplit text ---------------------------------------------------------------------------------------
 

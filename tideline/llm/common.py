@@ -8,6 +8,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+import zlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,27 +90,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def learning_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple]:
-    """A bounded, label-balanced sample of labelled rows for fitting: (key, label, text), ordered by key.
+def learning_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> tuple[list[tuple], dict[str, int]]:
+    """A bounded sample of labelled rows for fitting: ((id, label, text) without near copies, in hashed order), and rows of each label.
 
-    labels: doc_id and the label column, learning rows only. At most about 1.2 * per_class rows of each label
-    are gathered, and of each the first max_chars characters after a hashed start: per_class and max_chars
-    are the documented bound of every classifier here. Which rows are taken depends on their ids alone.
+    labels: doc_id and the label column, learning rows only. About 1.2 * per_class rows of each label are gathered
+    at most, and of each max_chars characters from a hashed start: per_class and max_chars are the documented
+    bound of the classifiers here. Which rows are taken depends on their ids alone. Of rows that share most of
+    their word sequences one stays, so that a large group of copies doesn't outweigh the rest.
     """
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("string").alias("_y")).where("_id is not null and _y is not null")
-    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
+    lab = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col(label).cast("string").alias("_y")).where("_id is not null and _y is not null")
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
+        return [], counts
     rate = F.lit(0.0)
     for y, n in counts.items():
         rate = F.when(F.col("_y") == F.lit(y), F.lit(min(1.0, 1.2 * per_class / n))).otherwise(rate)
     unit = F.pmod(F.xxhash64(F.col("_id"), F.lit(17)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    ids = [(r["_id"], r["_y"]) for r in lab.where(unit < rate).collect()]
+    ids = sorted({(r["_id"], r["_y"]) for r in lab.where(unit < rate).collect()})
     if not ids:
-        return []
-    spark = docs.sparkSession
-    small = spark.createDataFrame(ids, "_id bigint, _y string")  # at most 1.2 * per_class rows a label
+        return [], counts
+    small = docs.sparkSession.createDataFrame(ids, "_id bigint, _y string")  # about 1.2 * per_class rows a label
     start = F.pmod(F.xxhash64(F.col("_id"), F.lit(23)), F.greatest(F.lit(1), F.length("_t") - F.lit(max_chars))).cast("int") + 1
     rows = (
         docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
@@ -117,6 +117,19 @@ def learning_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
         .select("_id", "_y", F.substring("_t", start, F.lit(max_chars)).alias("_t"))
         .collect()
     )
-    return sorted({(r["_id"], r["_y"], r["_t"]) for r in rows})
-
-
+    order = sorted({(r["_id"], r["_y"], r["_t"]) for r in rows}, key=lambda r: (zlib.crc32(b"%d" % r[0]), r))
+    seen: set = set()
+    out = []
+    for r in order:
+        marks = _marks(r[2])
+        if not marks & seen:
+            out.append(r)
+        seen |= marks
+    return out, counts
+
+
+def _marks(text: str) -> set[tuple[int, int]]:
+    """Three least hashes of the text's runs of four words: texts that share most runs share one of them, likely."""
+    w = text.encode().split()
+    runs = [zlib.crc32(b" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))] if w else [0]
+    return {(k, min((h * m + k) & 0xFFFFFFFF for h in runs)) for k, m in enumerate((1, 2654435761, 2246822519))}
