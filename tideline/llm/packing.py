@@ -200,9 +200,9 @@ def packed(docs: DataFrame, path: str, end: int = 1, window: int = 2048) -> Data
             return out
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_slices(texts):
-                for name, coded in zip(ids[lo:hi], words.encode(texts[lo:hi]), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in in_slices(texts, 8_000_000):
+                for name, coded in zip(ids[lo:hi], words.encode(texts.slice(lo, hi - lo)), strict=True):
                     names.append(name)
                     parts.append(coded + tail)
                     held += len(coded) // words.width + 1

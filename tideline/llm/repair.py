@@ -164,9 +164,9 @@ def write_shards(docs: DataFrame, path: str, end: int = 2) -> tuple[DataFrame, s
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_slices(texts):
-                for name, coded in zip(names[lo:hi], words.encode(texts[lo:hi]), strict=True):
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in in_slices(texts, 8_000_000):
+                for name, coded in zip(names[lo:hi], words.encode(texts.slice(lo, hi - lo)), strict=True):
                     ids.append(name)
                     parts.append(coded + tail)
                     held += len(coded) // words.width + 1

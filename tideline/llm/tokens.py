@@ -6,12 +6,15 @@ and its ids are the ids of its parts. The parts are encoded by the tokenizers li
 
 from __future__ import annotations
 
-import array
-import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-#: Chunks of a generation of the cache; two generations are held, so memory stays bounded. Longer chunks aren't held.
-GENERATION = 400_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks that a cache holds before it starts anew, so that memory stays bounded.
+HELD = 700_000
+#: Longer chunks are encoded each time.
 LONGEST = 64
 
 _ENCODERS: dict[tuple, object] = {}
@@ -28,7 +31,7 @@ def encoder(kind: type, path: str):
 class Generations:
     """A mapping of bounded size: when the young generation is full, it becomes the old one, which is dropped."""
 
-    def __init__(self, most: int = GENERATION):
+    def __init__(self, most: int):
         self.young: dict = {}
         self.old: dict = {}
         self.most = most
@@ -51,7 +54,11 @@ class Generations:
 
 
 class WordIds:
-    """Ids of a vocabulary whose cut drops white space: texts are parted at spaces and line feeds."""
+    """Ids of a vocabulary whose cut drops white space: texts are parted at spaces and line feeds.
+
+    Such a vocabulary lower-cases, and parts letters from other signs, so a chunk of ASCII letters with a comma or
+    full stop at its end is encoded as its lower-cased letters and that sign.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,50 +67,106 @@ class WordIds:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.code = "H" if self.size <= 1 << 16 else "I"
-        self.width = 2 if self.code == "H" else 4
-        self.cache = Generations()
-
-    def _make(self, chunks: list[str]) -> list[bytes]:
-        out = []
-        code, swap = self.code, sys.byteorder == "big"
-        for at in range(0, len(chunks), 5000):
-            for e in self.tok.encode_batch_fast(chunks[at : at + 5000], add_special_tokens=False):
-                ids = array.array(code, e.ids)
-                if swap:
-                    ids.byteswap()
-                out.append(ids.tobytes())
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each text (None: none), self.width bytes each."""
-        parted = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        keys = set().union(*parted)
-        known = self.cache.ready({k for k in keys if len(k) <= LONGEST}, self._make)
-        long = [k for k in keys if len(k) > LONGEST]
-        if long:
-            known = known.copy() if len(known) < 1000 else _Layered(known)
-            known.update(zip(long, self._make(long), strict=True))
-        return [b"".join([known[w] for w in words]) for words in parted]
-
-
-class _Layered(dict):
-    def __init__(self, below: dict):
-        super().__init__()
-        self.below = below
-
-    def __missing__(self, key):
-        return self.below[key]
-
-
-def in_slices(texts: Iterable, chars: int = 2_000_000):
-    """Ranges of a list of texts with about so many characters each; a longer text has a range of its own."""
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.width = self.dtype.itemsize
+        special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.lowers = all(s == s.lower() for s in special) and "lowercase" in (str(self.tok.normalizer) or "").lower()
+        self.bar, self.bar_id = next(iter(special.items()), (None, None))
+        self.marks = tuple({s[:2] for s in special}) or ("\0",)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}  # chunk -> its row in core and tail
+        self.parts: dict[str, int] = {"": 0}  # what was encoded -> its row in start and length
+        self.flat = np.zeros(0, self.dtype)
+        self.start = np.zeros(1, np.int64)
+        self.length = np.zeros(1, np.int64)
+        self.core = np.zeros(0, np.int32)
+        self.tail = np.zeros(0, np.int32)
+
+    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in batches, and their counts; a special token between chunks parts them."""
+        bar = self.bar_id
+        flat, sizes = [], []
+        for lo in range(0, len(chunks), 64_000):
+            some = chunks[lo : lo + 64_000]
+            texts = [self.bar.join(some[k : k + 1000]) + self.bar for k in range(0, len(some), 1000)]
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == bar)
+            flat.append(ids[ids != bar])
+            sizes.append(np.diff(np.concatenate(([-1], ends))) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that may hold a special token's signs."""
+        rows = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+
+    def _cores(self, chunk: str) -> tuple[str, str]:
+        """A chunk as what is encoded for it and a last sign."""
+        if not self.lowers or not chunk.isascii() or "<|" in chunk:
+            return chunk, ""
+        low = chunk.lower()
+        return (low[:-1], low[-1]) if low[-1:] in (",", ".") and low[-2:-1].isalpha() else (low, "")
+
+    def _learn(self, chunks: list[str]) -> None:
+        parts = self.parts
+        pairs = [self._cores(c) for c in chunks]
+        need = {a for a, _ in pairs}
+        need.update(b for _, b in pairs)
+        need = [p for p in need if p not in parts]
+        odd = [p for p in need if self.bar is None or any([m in p for m in self.marks])]
+        plain = [p for p in need if p not in set(odd)] if odd else need
+        for some, make in ((plain, self._library), (odd, self._alone)):
+            if some:
+                flat, size = make(some)
+                first = len(self.flat) + np.cumsum(size) - size
+                parts.update(zip(some, range(len(self.start), len(self.start) + len(some)), strict=True))
+                self.flat = np.concatenate((self.flat, flat))
+                self.start, self.length = np.concatenate((self.start, first)), np.concatenate((self.length, size))
+        n = len(self.index)
+        self.core = np.concatenate((self.core, np.fromiter([parts[a] for a, _ in pairs], np.int32, len(pairs))))
+        self.tail = np.concatenate((self.tail, np.fromiter([parts[b] for _, b in pairs], np.int32, len(pairs))))
+        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts (null: none) one after another, and each text's count of ids."""
+        if len(texts) == 0:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        parted = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = parted.flatten().dictionary_encode()
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.index) > HELD:
+            self._clear()
+        index = self.index
+        missing = [k for k in kinds if k not in index]
+        self._learn(missing)
+        at = np.fromiter(map(index.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
+        both = np.empty(2 * len(at), np.int64)
+        both[0::2], both[1::2] = self.core[at], self.tail[at]
+        size = self.length[both]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.start[both] - upto[:-1], size) + np.arange(upto[-1])]
+        ends = np.cumsum(pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64))
+        if sum([len(k) for k in missing if len(k) > LONGEST]) > 1 << 22:  # huge chunks aren't worth keeping
+            self._clear()
+        return ids, np.diff(np.concatenate(([0], upto[2 * ends])))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Little-endian ids of each text, self.width bytes each."""
+        ids, counts = self.encode_array(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), (np.cumsum(counts) * self.width).tolist()
+        return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def in_slices(texts: Iterable | pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about so many characters (bytes of an Arrow array) each; a longer text ends its range."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     start, total = 0, 0
-    texts = list(texts)
-    for i, t in enumerate(texts):
-        total += len(t or "")
+    for i, n in enumerate(sizes):
+        total += n
         if total >= chars:
             yield start, i + 1
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
