@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, exact, packing, repair, toxicity
+from tideline.llm import bpe, exact, langid, packing, quality, repair, toxicity
 from tideline.llm.common import table, tokenizer_path
 
 
@@ -19,10 +19,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predicted(docs, langid.learn(docs))
+
+
 def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, _ = repair.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return repair.read_documents(shards)
@@ -33,7 +43,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repair, op3_packing, op4_toxicity, op6_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_repair, op3_packing, op4_toxicity, op6_exact_dedup, op8_quality, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
