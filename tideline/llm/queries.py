@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, exact, langid, packing, quality, repair, toxicity
+from tideline.llm import bpe, exact, langid, packing, quality, repair, simhash, toxicity
 from tideline.llm.common import table, tokenizer_path
 
 
@@ -19,6 +19,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +47,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_repair, op3_packing, op4_toxicity, op6_exact_dedup, op8_quality, op9_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_repair, op3_packing, op4_toxicity, op6_exact_dedup, op7_simhash, op8_quality, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
