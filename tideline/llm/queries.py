@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, exact, langid, packing, quality, repair, simhash, toxicity
+from tideline.llm import bpe, exact, langid, packing, quality, repair, simhash, toxicity, vecgraph
 from tideline.llm.common import table, tokenizer_path
 
 
@@ -46,8 +46,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_vecgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecgraph.linked(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_repair, op3_packing, op4_toxicity, op6_exact_dedup, op7_simhash, op8_quality, op9_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_repair, op3_packing, op4_toxicity, op6_exact_dedup, op7_simhash, op8_quality, op9_bpe, op10_vecgraph)}
 
 
 def oracle_sql() -> dict[str, str]:
