@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import bpe, exact, langid, packing, quality, repair, simhash, toxicity, vecgraph
+from tideline.llm import bpe, exact, langid, packing, quality, repair, simhash, substring, toxicity, vecgraph
 from tideline.llm.common import table, tokenizer_path
 
 
@@ -15,6 +16,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.length("text").alias("n_kept"), F.size("_removed").alias("n_removed"), F.col("_removed").alias("removed"), "text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -51,7 +57,7 @@ def op10_vecgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_repair, op3_packing, op4_toxicity, op6_exact_dedup, op7_simhash, op8_quality, op9_bpe, op10_vecgraph)}
+    return {f.__name__: f for f in (op1_langid, op2_repair, op3_packing, op4_toxicity, op5_substring, op6_exact_dedup, op7_simhash, op8_quality, op9_bpe, op10_vecgraph)}
 
 
 def oracle_sql() -> dict[str, str]:
