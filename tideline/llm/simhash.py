@@ -31,7 +31,7 @@ from tideline.llm.tokens import in_slices
 #: Members of a block of a bucket.
 BLOCK = 2048
 #: Small buckets are compared as pairs side by side up to this size.
-SMALL = 24
+SMALL = 64
 _SEED = 42
 
 
@@ -41,9 +41,11 @@ _SEED = 42
 def _counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, bit 63 first."""
     total = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[lo : lo + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64)
-        total += bits.sum(0, dtype=np.int64)
+    for lo in range(0, len(hashes), 255 << 8):
+        some = hashes[lo : lo + (255 << 8)].astype(">u8")
+        bits = np.zeros((-(-len(some) // 255) * 255, 64), np.uint8)
+        bits[: len(some)] = np.unpackbits(some.view(np.uint8)).reshape(-1, 64)
+        total += np.add.reduce(bits.reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)  # 255 bits fit a byte
     return total
 
 
@@ -206,8 +208,9 @@ def within(queries: np.ndarray, members: np.ndarray, radius: int, some: int = 25
 def side_by_side(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Whether fingerprints a[i] and b[i] are within the radius: pairs are the lanes."""
     out = np.zeros(len(a), bool)
-    for lo in range(0, len(a), 1 << 18):
-        x = planes(a[lo : lo + (1 << 18)] ^ b[lo : lo + (1 << 18)])
+    some = (1 << 17) // a.shape[1]
+    for lo in range(0, len(a), some):
+        x = planes(a[lo : lo + some] ^ b[lo : lo + some])
         lanes = np.arange(x.shape[1])
         counters = Counters((x.shape[1],), radius)
         for k in range(x.shape[0]):
@@ -219,10 +222,31 @@ def side_by_side(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
                     lanes = lanes[alive]
         near = np.zeros(x.shape[1], np.uint64)
         near[lanes] = ~counters.beyond()
-        out[lo : lo + (1 << 18)] = np.unpackbits(near.astype("<u8").view(np.uint8), bitorder="little")[: len(a[lo : lo + (1 << 18)])]
+        out[lo : lo + some] = np.unpackbits(near.astype("<u8").view(np.uint8), bitorder="little")[: len(a[lo : lo + some])]
     return out
 
 
+def _large_group(side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one block that connect what all its links do.
+
+    Members near one pivot are connected through it, so pairs of them need no comparison; all other pairs have one.
+    """
+    tries = np.unique(np.linspace(0, len(fp) - 1, 4).astype(int))
+    q, r = within(fp[tries], fp, radius)
+    pivot = int(np.bincount(q, minlength=len(tries)).argmax())
+    near = np.zeros(len(fp), bool)
+    near[r[q == pivot]] = True
+    own = np.flatnonzero(near)
+    found = [(np.full(len(own), tries[pivot]), own)]
+    blocks = [(np.flatnonzero(~near), np.arange(len(fp)))] if side[0] == 2 else [(np.flatnonzero((side == 0) & ~near), np.flatnonzero(side == 1)), (np.flatnonzero((side == 0) & near), np.flatnonzero((side == 1) & ~near))]
+    for a, b in blocks:
+        if len(a) and len(b):
+            q, r = within(fp[a], fp[b], radius)
+            q, r = a[q], b[r]
+            found.append((q[q != r], r[q != r]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def block_links(group: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of blocks: rows sorted by group. side 0 and 1 are the two tiles of a block, compared across; 2 is a tile of its own."""
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -242,17 +266,9 @@ def block_links(group: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.nd
         found_a.append(node[i[ok]])
         found_b.append(node[i[ok] + shift])
     for lo, n in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
-        s, f, m = side[lo : lo + n], fp[lo : lo + n], node[lo : lo + n]
-        if s[0] == 2:
-            q, r = within(f, f, radius)
-            keep = q < r
-            a, b = m[q[keep]], m[r[keep]]
-        else:
-            left, right = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
-            q, r = within(f[left], f[right], radius) if len(left) and len(right) else (left[:0], right[:0])
-            a, b = m[left[q]], m[right[r]]
+        a, b = _large_group(side[lo : lo + n], fp[lo : lo + n], radius)
         if len(a):
-            a, b = forest(a, b)
+            a, b = forest(node[lo : lo + n][a], node[lo : lo + n][b])
         found_a.append(a)
         found_b.append(b)
     none = np.zeros(0, np.int64)
@@ -266,8 +282,7 @@ def near_links(nodes: DataFrame, radius: int, tables: list[list[int]], block: in
     """Spanning links (a, b) of distinct fingerprints nodes(node bigint, fp binary) within the radius, found through the tables."""
     spark = nodes.sparkSession
     ship(spark)
-    words = (max(max(t) for t in tables) // 64) + 1
-
+    
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
@@ -279,11 +294,11 @@ def near_links(nodes: DataFrame, radius: int, tables: list[list[int]], block: in
                 yield pa.record_batch([pa.array(keys[:, t]), batch.column(0), batch.column(1)], names=["key", "node", "fp"])
 
     filed = nodes.select("node", "fp").mapInArrow(file, "key bigint, node bigint, fp binary")
-    sizes, sizes_path = written(nodes.select("node", "fp").mapInArrow(file, "key bigint, node bigint, fp binary").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    # a bucket of more than a block's members is dealt into tiles; a row goes to each pair of tiles that has its own
-    tiles = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    # buckets beyond a block, one row for each block of rows at most: dealt into tiles, a row to each pair that has its own
+    large, _ = written(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-buckets")
+    tiles = F.coalesce(F.ceil(F.col("n") / F.lit(block)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
-    rows = filed.join(sizes, "key").withColumn("tiles", tiles).withColumn("own", own)
+    rows = filed.join(large, "key", "left").withColumn("tiles", tiles).withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -292,7 +307,7 @@ def near_links(nodes: DataFrame, radius: int, tables: list[list[int]], block: in
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(columns: list[list]) -> pa.RecordBatch:
             key, low, high, side, node = (np.concatenate(c) for c in columns[:5])
-            fp = np.frombuffer(b"".join(columns[5]), ">u8").reshape(len(node), words).astype(np.uint64)
+            fp = np.frombuffer(b"".join(columns[5]), ">u8").reshape(len(node), -1).astype(np.uint64)
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
             a, b = block_links(np.cumsum(new), side, node, fp, radius)
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -342,3 +357,36 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     prints, _ = written(fingerprints(docs, shingle), "simhash-prints")
     found = near_duplicates(prints, radius, exact_tables(64, radius))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+# -- similar documents -----------------------------------------------------------------------------------------------
+
+#: Bits of a band and bands: documents of similarity 0.8 (a chance of 0.15 for each bit to differ) share one of 32 bands
+#: of 14 bits with a chance of 0.97. 14 bits serve up to some ten million documents, 20 bits and 120 bands any more.
+BANDS = ((16_000_000, 14, 32), (1 << 62, 20, 80))
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id of every row with a text, by the estimated Jaccard similarity of their sets of word shingles.
+
+    Long fingerprints make the estimate sharp: of b bits, a share of arccos(2 s / (1 + s)) / pi differs at similarity
+    s, and the radius is half a standard deviation beyond it.
+    """
+    n = docs.count()
+    width, bands = next((w, k) for most, w, k in BANDS if n <= most)
+    words = -(-width * bands // 64)
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(64 * words * differ + 0.5 * np.sqrt(64 * words * differ * (1 - differ)))
+    filled = docs.where("text is not null and doc_id is not null and text rlike '[^ \\t-\\r]'")
+    prints, _ = written(fingerprints(filled, shingle, words, distinct=True), "similar-prints")
+    return near_duplicates(prints, radius, banded_tables(width * bands, width)).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the smallest id; all columns kept.
+
+    Rows without words or without an id stay.
+    """
+    gone = similar_components(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone, _ = written(gone, "similar-gone")
+    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")

@@ -29,7 +29,7 @@ from tideline.llm.tokens import in_slices
 
 LINE_WORDS = 4
 SENTENCE_WORDS = 8
-_BREAK = re.compile(r"(?<=[.!?])[ \t]+(?=\S)|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])(?<![.!?])[ \t]+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
+_BREAK = re.compile(r"(?<=[.!?])([^\w\s.!?]{0,4})[ \t]+(?=\S)|(?<=[^\s.!?A-ZÀ-ÖØ-Þ])[ \t]+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
 
 
 def units(text: str) -> list[tuple[int, int, int, int]]:
@@ -38,7 +38,7 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     for number, line in enumerate(text.split("\n")):
         end = start + len(line)
         out.append((0, start, end, number))
-        cuts = [(m.start(), m.end()) for m in _BREAK.finditer(line)]
+        cuts = [(m.start() + len(m[1] or ""), m.end()) for m in _BREAK.finditer(line)]
         if cuts:
             at = 0
             for a, b in cuts:
