@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import discard, ship, shuffle_width, written
 from tideline.llm.components import components, forest
-from tideline.llm.tokens import in_slices
+from tideline.llm.tokens import in_slices, release
 
 #: Members of a block of a bucket.
 BLOCK = 2048
@@ -86,6 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(1)
             for lo, hi in in_slices(texts):

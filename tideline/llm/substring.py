@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import discard, ship, written
-from tideline.llm.tokens import in_slices
+from tideline.llm.tokens import in_slices, release
 
 LINE_WORDS = 4
 SENTENCE_WORDS = 8
@@ -58,6 +58,7 @@ def text_units(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in in_slices(texts, 4_000_000):
@@ -149,6 +150,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     place = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts, spans = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             new, gone = [], []

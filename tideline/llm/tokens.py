@@ -6,17 +6,24 @@ and its ids are the ids of its parts. The parts are encoded by the tokenizers li
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a cache holds before it starts anew, so that memory stays bounded.
-HELD = 700_000
+#: Chunks that a cache of ids holds before it starts anew (some 60 bytes each), so that memory stays bounded.
+HELD = 2_500_000
 #: Longer chunks are encoded each time.
 LONGEST = 64
 
+#: Signs that a chunk may end with, and one that parts chunks given to the library together.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BAR = "\x01"
+
 _ENCODERS: dict[tuple, object] = {}
 
 
@@ -53,15 +60,61 @@ class Generations:
         return young
 
 
+def release() -> None:
+    """Drop the caches of this process, where other work than encoding begins."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+class Rows:
+    """Row numbers of strings, by two keyed 64-bit hashes of each; the strings themselves aren't held."""
+
+    def __init__(self):
+        self.hash, self.check, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    @staticmethod
+    def hashed(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from pandas.util import hash_array
+
+        return hash_array(strings, hash_key="tide line keys 1", categorize=False), hash_array(strings, hash_key="tide line keys 2", categorize=False)
+
+    def find(self, hashes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Rows, -1 for strings not held."""
+        if not len(self.hash):
+            return np.full(len(hashes[0]), -1, np.int32)
+        order = np.argsort(hashes[0])
+        at = np.empty(len(order), np.int64)
+        at[order] = np.searchsorted(self.hash, hashes[0][order])
+        at[at == len(self.hash)] = 0
+        return np.where((self.hash[at] == hashes[0]) & (self.check[at] == hashes[1]), self.row[at], np.int32(-1))
+
+    def add(self, hashes: tuple[np.ndarray, np.ndarray], first: int) -> None:
+        self.hash = np.concatenate((self.hash, hashes[0]))
+        self.check = np.concatenate((self.check, hashes[1]))
+        self.row = np.concatenate((self.row, np.arange(first, first + len(hashes[0]), dtype=np.int32)))
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.check, self.row = self.hash[order], self.check[order], self.row[order]
+
+
+def objects(strings: list[str]) -> np.ndarray:
+    out = np.empty(len(strings), object)
+    out[:] = strings
+    return out
+
+
 class WordIds:
     """Ids of a vocabulary whose cut drops white space: texts are parted at spaces and line feeds.
 
-    Such a vocabulary lower-cases, and parts letters from other signs, so a chunk of ASCII letters with a comma or
-    full stop at its end is encoded as its lower-cased letters and that sign.
+    Such a vocabulary lower-cases, and parts letters from other signs, so a chunk is encoded as what it has up to its
+    last letter and the signs after that, each once for all chunks that share it.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -69,31 +122,52 @@ class WordIds:
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.width = self.dtype.itemsize
-        special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
-        self.lowers = all(s == s.lower() for s in special) and "lowercase" in (str(self.tok.normalizer) or "").lower()
-        self.bar, self.bar_id = next(iter(special.items()), (None, None))
-        self.marks = tuple({s[:2] for s in special}) or ("\0",)
+        self.bar = None
+        if len(ids := self.tok.encode(f"a {_BAR} a", add_special_tokens=False).ids) == 3:
+            self.bar = ids[1]
+        # single words of ASCII letters need neither normalising nor the cut, and end with a token of their own kind
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.light = None
+        if suffix and self.lowers():
+            self.light = Tokenizer.from_file(path)
+            self.light.no_truncation()
+            self.light.no_padding()
+            self.light.normalizer = normalizers.Sequence([])
+            self.light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}  # chunk -> its row in core and tail
-        self.parts: dict[str, int] = {"": 0}  # what was encoded -> its row in start and length
+        self.chunks = Rows()  # chunk -> its row in core and tail
+        self.parts = Rows()  # what was encoded -> its row in start and length
         self.flat = np.zeros(0, self.dtype)
-        self.start = np.zeros(1, np.int64)
-        self.length = np.zeros(1, np.int64)
+        self.start = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
         self.core = np.zeros(0, np.int32)
         self.tail = np.zeros(0, np.int32)
+        self._encode_parts([""])
+
+    def lowers(self) -> bool:
+        """Whether the vocabulary's ids don't depend on the case of ASCII letters."""
+        e = self.tok.encode
+        return e("AbC", add_special_tokens=False).ids == e("abc", add_special_tokens=False).ids
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case ASCII letters, and their counts."""
+        texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        flat = np.concatenate([np.array(e.ids, self.dtype) for e in self.light.encode_batch_fast(texts, add_special_tokens=False)])
+        return flat, np.diff(np.concatenate(([-1], np.flatnonzero(self.ends[flat]))))
 
     def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks in batches, and their counts; a special token between chunks parts them."""
-        bar = self.bar_id
+        """Ids of chunks, and their counts; a sign between chunks parts them."""
         flat, sizes = [], []
         for lo in range(0, len(chunks), 64_000):
             some = chunks[lo : lo + 64_000]
-            texts = [self.bar.join(some[k : k + 1000]) + self.bar for k in range(0, len(some), 1000)]
+            texts = [f" {_BAR} ".join(some[k : k + 1000]) + f" {_BAR}" for k in range(0, len(some), 1000)]
             ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
-            ends = np.flatnonzero(ids == bar)
-            flat.append(ids[ids != bar])
+            ends = np.flatnonzero(ids == self.bar)
+            flat.append(ids[ids != self.bar])
             sizes.append(np.diff(np.concatenate(([-1], ends))) - 1)
         return np.concatenate(flat), np.concatenate(sizes)
 
@@ -103,31 +177,47 @@ class WordIds:
         return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
 
     def _cores(self, chunk: str) -> tuple[str, str]:
-        """A chunk as what is encoded for it and a last sign."""
-        if not self.lowers or not chunk.isascii() or "<|" in chunk:
+        """A chunk as what is encoded for it: up to its last letter, and the signs after that."""
+        core = chunk.rstrip(_SIGNS)
+        if "<|" in chunk or not self.light:
             return chunk, ""
-        low = chunk.lower()
-        return (low[:-1], low[-1]) if low[-1:] in (",", ".") and low[-2:-1].isalpha() else (low, "")
+        if core.isascii():
+            low = core.lower()
+            return (low, chunk[len(core) :]) if low[-1:].isalpha() else (chunk.lower(), "")
+        return (core, chunk[len(core) :]) if core[-1].isalpha() and core[-1].lower()[-1].isalpha() else (chunk, "")
 
-    def _learn(self, chunks: list[str]) -> None:
-        parts = self.parts
-        pairs = [self._cores(c) for c in chunks]
-        need = {a for a, _ in pairs}
-        need.update(b for _, b in pairs)
-        need = [p for p in need if p not in parts]
-        odd = [p for p in need if self.bar is None or any([m in p for m in self.marks])]
-        plain = [p for p in need if p not in set(odd)] if odd else need
-        for some, make in ((plain, self._library), (odd, self._alone)):
+    def _encode_parts(self, need: list[str]) -> None:
+        """Encode parts that aren't held."""
+        words, plain, odd = [], [], []
+        for p in need:
+            if self.light and p.isascii() and p.isalpha():
+                words.append(p)
+            elif self.bar is None or "<|" in p or _BAR in p:
+                odd.append(p)
+            else:
+                plain.append(p)
+        for some, make in ((words, self._words), (plain, self._library), (odd, self._alone)):
             if some:
                 flat, size = make(some)
                 first = len(self.flat) + np.cumsum(size) - size
-                parts.update(zip(some, range(len(self.start), len(self.start) + len(some)), strict=True))
+                self.parts.add(Rows.hashed(objects(some)), len(self.start))
                 self.flat = np.concatenate((self.flat, flat))
-                self.start, self.length = np.concatenate((self.start, first)), np.concatenate((self.length, size))
-        n = len(self.index)
-        self.core = np.concatenate((self.core, np.fromiter([parts[a] for a, _ in pairs], np.int32, len(pairs))))
-        self.tail = np.concatenate((self.tail, np.fromiter([parts[b] for _, b in pairs], np.int32, len(pairs))))
-        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+                self.start, self.length = np.concatenate((self.start, first)), np.concatenate((self.length, size.astype(np.int32)))
+
+    def _learn(self, chunks: list[str], hashes: tuple[np.ndarray, np.ndarray]) -> None:
+        """Hold chunks, encoding those of their parts that aren't held."""
+        pairs = [self._cores(c) for c in chunks]
+        names = list({p for pair in pairs for p in pair})
+        own = Rows.hashed(objects(names))
+        known = self.parts.find(own)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            self._encode_parts([names[i] for i in new.tolist()])
+            known[new] = self.parts.find((own[0][new], own[1][new]))
+        row = dict(zip(names, known.tolist(), strict=True))
+        self.chunks.add(hashes, len(self.core))
+        self.core = np.concatenate((self.core, np.fromiter([row[a] for a, _ in pairs], np.int32, len(pairs))))
+        self.tail = np.concatenate((self.tail, np.fromiter([row[b] for _, b in pairs], np.int32, len(pairs))))
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts (null: none) one after another, and each text's count of ids."""
@@ -135,21 +225,25 @@ class WordIds:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         parted = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = parted.flatten().dictionary_encode()
-        kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.index) > HELD:
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.core) > HELD or len(self.flat) > 6 * HELD:
             self._clear()
-        index = self.index
-        missing = [k for k in kinds if k not in index]
-        self._learn(missing)
-        at = np.fromiter(map(index.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
-        both = np.empty(2 * len(at), np.int64)
+        hashes = Rows.hashed(kinds)
+        row = self.chunks.find(hashes)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            first = len(self.core)
+            self._learn(kinds[new].tolist(), (hashes[0][new], hashes[1][new]))
+            row[new] = np.arange(first, first + len(new), dtype=np.int32)
+        del kinds, hashes
+        at = row[coded.indices.to_numpy()]
+        both = np.empty(2 * len(at), np.int32)
         both[0::2], both[1::2] = self.core[at], self.tail[at]
         size = self.length[both]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.start[both] - upto[:-1], size) + np.arange(upto[-1])]
+        upto = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        shift = self.start[both] - upto[:-1]
+        ids = self.flat[np.repeat(shift, size) + np.arange(upto[-1])]
         ends = np.cumsum(pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64))
-        if sum([len(k) for k in missing if len(k) > LONGEST]) > 1 << 22:  # huge chunks aren't worth keeping
-            self._clear()
         return ids, np.diff(np.concatenate(([0], upto[2 * ends])))
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:

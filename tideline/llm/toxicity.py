@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import fold, learning_texts, ship
-from tideline.llm.tokens import in_slices
+from tideline.llm.tokens import in_slices, release
 
 #: Bound of the learning sample: rows of each label and characters of each.
 PER_CLASS = 2500
@@ -189,6 +189,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -205,6 +206,7 @@ def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
