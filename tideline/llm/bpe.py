@@ -140,10 +140,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ByteBpe, path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in in_slices(texts):
+            column = batch.column(1)
+            for lo, hi in in_slices(column):
                 n, ids, back, same = [], [], [], []
-                for text, parts in zip(texts[lo:hi], bpe.entries(texts[lo:hi]), strict=True):
+                texts = column.slice(lo, hi - lo).to_pylist()
+                for text, parts in zip(texts, bpe.entries(texts), strict=True):
                     decoded = "".join([p[2] for p in parts])
                     n.append(sum([p[0] for p in parts]))
                     ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())

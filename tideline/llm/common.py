@@ -18,8 +18,20 @@ _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes of a batch between Spark and Python: whole texts are long, and both sides hold batches outside the heap.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that workers can import it anywhere."""
+    """Send this package to the executors, once for each application, so that workers can import it anywhere.
+
+    The session's batches for Python are made no larger than BATCH_ROWS and BATCH_BYTES.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key, "0").rstrip("b") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     with _LOCK:
         if app in _SHIPPED:

@@ -192,9 +192,9 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         release()
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for lo, hi in in_slices(texts):
-                values = [scorer.score(t) for t in texts[lo:hi]]
+                values = [scorer.score(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())], names=["doc_id", "score", "predicted"])
 
     out = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double, predicted int")
@@ -209,7 +209,8 @@ def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
         release()
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in texts], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for lo, hi in in_slices(texts):
+                yield batch.slice(lo, hi - lo).filter(pa.array([scorer.score(t) < 0.5 for t in texts.slice(lo, hi - lo).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
