@@ -29,7 +29,7 @@ def ship(spark: SparkSession) -> None:
     The session's batches for Python are made no larger than BATCH_ROWS and BATCH_BYTES.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(spark.conf.get(key, "0").rstrip("b") or 0)
+        now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
