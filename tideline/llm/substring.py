@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import discard, ship, written
+from tideline.llm.common import ship, shuffle_width, written
 from tideline.llm.tokens import in_slices, release
 
 LINE_WORDS = 4
@@ -85,15 +85,13 @@ def text_units(docs: DataFrame) -> DataFrame:
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """Units that are not the earliest of their digest: _id, _row, _start, _end, and first_doc and first_start of that one."""
-    spark = docs.sparkSession
-    found, found_path = written(text_units(docs), "units")
+    found = text_units(docs)
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_start")
+    # only digests that occur again are written; units themselves are cheaper to make twice than to keep
     firsts = found.groupBy("_digest").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("_digest", "f")
-    firsts, firsts_path = written(firsts, "first-units")
+    firsts, _ = written(firsts.coalesce(-(-shuffle_width(docs.sparkSession) // 8)), "first-units")
     later = found.join(firsts, "_digest").where(place != F.col("f"))
-    later, _ = written(later.select("_id", "_row", "_start", "_end", F.col("f._id").alias("first_doc"), F.col("f._start").alias("first_start")), "repeated-units")
-    discard(spark, found_path, firsts_path)
-    return later
+    return later.select("_id", "_row", "_start", "_end", F.col("f._id").alias("first_doc"), F.col("f._start").alias("first_start"))
 
 
 def removed_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
