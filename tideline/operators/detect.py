@@ -14,17 +14,20 @@ from tideline.params import DetectionParams
 
 
 def moments(density: DataFrame) -> DataFrame:
-    """n, sum_d, sum_d2, mu and sigma of defined densities, one row a stream."""
+    """n, sum_d, sum_d2, mu, sigma and _root (n sigma) of defined densities, one row a stream.
+
+    mu + k _root / n, in this order, gives whole thresholds where they are whole; k sigma would round twice.
+    """
     sums = density.groupBy("stream_id").agg(F.count("d").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("sum_d"), F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0)).alias("sum_d2"))
     n = F.when(F.col("n") > 0, F.col("n"))
     spread = F.col("n") * F.col("sum_d2") - F.col("sum_d") * F.col("sum_d")
-    return sums.withColumn("mu", F.coalesce(F.col("sum_d") / n, F.lit(0.0))).withColumn("sigma", F.coalesce(F.sqrt(spread) / n, F.lit(0.0)))
+    return sums.withColumn("_root", F.sqrt(spread)).withColumn("mu", F.coalesce(F.col("sum_d") / n, F.lit(0.0))).withColumn("sigma", F.coalesce(F.col("_root") / n, F.lit(0.0)))
 
 
 def thresholds(density: DataFrame, p: DetectionParams = DetectionParams()) -> DataFrame:
     """One row a stream: mu, sigma, n, candidate_threshold and strong_threshold (null without a baseline)."""
     base = moments(density)
-    by_sigma = [F.when(F.col("sigma") > 0, F.col("mu") + k * F.col("sigma")) for k in (p.candidate_sigma, p.strong_sigma)]
+    by_sigma = [F.when(F.col("sigma") > 0, F.col("mu") + k * F.col("_root") / F.col("n")) for k in (p.candidate_sigma, p.strong_sigma)]
     if p.threshold_mode == "percentile":
         cuts = density.groupBy("stream_id").agg(F.percentile("d", p.candidate_percentile / 100).alias("_c"), F.percentile("d", p.strong_percentile / 100).alias("_s"))
         out = base.join(cuts, "stream_id")

@@ -239,7 +239,7 @@ cnt AS (SELECT g.stream_id, g.tick, CASE WHEN g.tick >= 10 THEN CAST(coalesce(su
         CASE WHEN g.tick >= 10 THEN CAST(coalesce(sum(ns), 0) AS BIGINT) END AS ds, CASE WHEN g.tick >= 10 THEN CAST(coalesce(sum(nl), 0) AS BIGINT) END AS dl
         FROM grid g LEFT JOIN scat USING (stream_id, tick) GROUP BY 1, 2),
 mom AS (SELECT stream_id, count(d) AS n, CAST(sum(d) AS BIGINT) AS s1, CAST(sum(d * d) AS BIGINT) AS s2 FROM cnt GROUP BY 1),
-stat AS (SELECT stream_id, n, s1 / n AS mu, sqrt(n * s2 - s1 * s1) / n AS sigma FROM mom),
+stat AS (SELECT stream_id, n, s1 / n AS mu, sqrt(n * s2 - s1 * s1) / n AS sigma, sqrt(n * s2 - s1 * s1) AS root FROM mom),
 sm AS (SELECT stream_id, tick, d, sum(d) OVER w3 / count(d) OVER w3 AS sm, lag(d) OVER w AS d0 FROM cnt
        WINDOW w AS (PARTITION BY stream_id ORDER BY tick), w3 AS (PARTITION BY stream_id ORDER BY tick ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 bur AS (SELECT stream_id, tick, d, sm - lag(sm) OVER (PARTITION BY stream_id ORDER BY tick) AS s, d / greatest(coalesce(d0, 1), 1) AS s_rel FROM sm),
@@ -263,7 +263,7 @@ spm AS (SELECT stream_id, tick, coalesce(repeat_ratio >= 0.8 AND concentration >
 """
 
 
-def _cands(cut: str = "mu + 2 * sigma", strong: str = "mu + 3 * sigma", spam: bool = True, by_overlap: bool = True, least: int = 3) -> str:
+def _cands(cut: str = "mu + 2 * root / n", strong: str = "mu + 3 * root / n", spam: bool = True, by_overlap: bool = True, least: int = 3) -> str:
     return f""",
 thr AS (SELECT stream_id, {cut} AS tc, {strong} AS ts FROM stat WHERE sigma > 0),
 hot AS (SELECT cnt.stream_id, cnt.tick FROM cnt JOIN thr USING (stream_id) JOIN spm USING (stream_id, tick) WHERE d > tc {"AND NOT spam" if spam else ""}),
@@ -373,10 +373,10 @@ def oracle_sql() -> dict[str, str]:
         "repeat_ratio": b + "SELECT * FROM rp",
         "spam_mask": b + "SELECT * FROM spm",
         "user_pool": b + "SELECT * FROM pool",
-        "thresholds_sigma": b + f"SELECT stream_id, n, {_r('mu', 'sigma')}, round(mu + 2 * sigma, 6) + 0.0 AS candidate_threshold, round(mu + 3 * sigma, 6) + 0.0 AS strong_threshold FROM stat",
+        "thresholds_sigma": b + f"SELECT stream_id, n, {_r('mu', 'sigma')}, round(mu + 2 * root / n, 6) + 0.0 AS candidate_threshold, round(mu + 3 * root / n, 6) + 0.0 AS strong_threshold FROM stat",
         "thresholds_robust": b + f""", md AS (SELECT stream_id, median(d) AS med FROM cnt GROUP BY 1), ma AS (SELECT stream_id, any_value(med) AS med, median(abs(d - med)) * 1.4826 AS mad FROM cnt JOIN md USING (stream_id) GROUP BY 1)
-            SELECT stream_id, n, {_r('mu', 'sigma')}, round(CASE WHEN mad > 0 THEN med + 2 * mad ELSE mu + 2 * sigma END, 6) + 0.0 AS candidate_threshold,
-            round(CASE WHEN mad > 0 THEN med + 3 * mad ELSE mu + 3 * sigma END, 6) + 0.0 AS strong_threshold FROM stat JOIN ma USING (stream_id)""",
+            SELECT stream_id, n, {_r('mu', 'sigma')}, round(CASE WHEN mad > 0 THEN med + 2 * mad ELSE mu + 2 * root / n END, 6) + 0.0 AS candidate_threshold,
+            round(CASE WHEN mad > 0 THEN med + 3 * mad ELSE mu + 3 * root / n END, 6) + 0.0 AS strong_threshold FROM stat JOIN ma USING (stream_id)""",
         "thresholds_percentile": b + f""", q AS (SELECT stream_id, quantile_cont(d, 0.975) AS qc, quantile_cont(d, 0.99) AS qs FROM cnt GROUP BY 1)
             SELECT stream_id, n, {_r('mu', 'sigma')}, round(qc, 6) + 0.0 AS candidate_threshold, round(qs, 6) + 0.0 AS strong_threshold FROM stat JOIN q USING (stream_id)""",
         "runs": b + _cands(spam=False) + "SELECT stream_id, a AS run_start, b AS run_end FROM run",
