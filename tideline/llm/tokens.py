@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a cache of ids holds before it starts anew (some 60 bytes each), so that memory stays bounded.
-HELD = 2_500_000
+HELD = 1_000_000
 #: Longer chunks are encoded each time.
 LONGEST = 64
 
@@ -60,14 +60,19 @@ class Generations:
         return young
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release() -> None:
     """Drop the caches of this process, where other work than encoding begins."""
     if _ENCODERS:
         _ENCODERS.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 class Rows:
@@ -244,7 +249,10 @@ class WordIds:
         shift = self.start[both] - upto[:-1]
         ids = self.flat[np.repeat(shift, size) + np.arange(upto[-1])]
         ends = np.cumsum(pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64))
-        return ids, np.diff(np.concatenate(([0], upto[2 * ends])))
+        counts = np.diff(np.concatenate(([0], upto[2 * ends])))
+        del parted, coded, at, both, size, upto, shift, ends
+        trim()
+        return ids, counts
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian ids of each text, self.width bytes each."""
