@@ -70,7 +70,7 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     Returns the table and its path.
     """
     spark = links.sparkSession
-    width = shuffle_width(spark)
+    width = -(-shuffle_width(spark) // 4)
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges, path = written(_contracted(edges.repartition(width, F.col("a"))), "links")
     for _ in range(MOST_ROUNDS):
@@ -80,12 +80,12 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")), path
         # large star: every greater neighbour of a node goes to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least, least_path = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        least, least_path = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", narrow=True)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large, large_path = written(_contracted(large.repartition(width, F.col("a"))), "links")
         discard(spark, least_path, path)
         # small star: a node's smaller neighbours go to the least of them
-        least, least_path = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least, least_path = written(large.groupBy("a").agg(F.min("b").alias("m")), "least", narrow=True)
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
         edges, path = written(_contracted(small.repartition(width, F.col("a"))), "links")
         discard(spark, least_path, large_path)

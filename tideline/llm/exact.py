@@ -69,11 +69,11 @@ def slot(key: Column, depth: int) -> Column:
 def build_index(members: DataFrame, capacity: int = BUCKET_CAPACITY) -> tuple[DataFrame, str]:
     """Write the index of members (_id, _len, _key, _sha) to the shared folder; returns it and its path."""
     spark = members.sparkSession
-    entries, path = written(_entries(members, "_key", "_sha"), "exact-entries")
+    entries, path = written(_entries(members, "_key", "_sha"), "exact-entries", narrow=True)
     slots, depth = directory(entries, capacity)
     # the directory has at most 2**MAX_DEPTH slots of 20 bytes
     placed = entries.withColumn("_slot", slot(F.col("_key"), depth)).join(F.broadcast(slots), "_slot")
-    index, index_path = written(placed.repartitionByRange(shuffle_width(spark), "_bucket", "_key").select("_bucket", "_local_depth", "_key", "_sha", "_size", "_keep_len", "_keep"), "exact-index")
+    index, index_path = written(placed.repartitionByRange(-(-shuffle_width(spark) // 4), "_bucket", "_key").select("_bucket", "_local_depth", "_key", "_sha", "_size", "_keep_len", "_keep"), "exact-index")
     discard(spark, path)
     return index, index_path
 

@@ -212,7 +212,7 @@ def decode_document(row: dict, k: int) -> np.ndarray:
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document of written shards."""
     spark: SparkSession = shards.sparkSession
-    starts, _ = written(shard_starts(shards), "repair-starts")
+    starts, _ = written(shard_starts(shards), "repair-starts", narrow=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -296,7 +296,7 @@ def near_links(nodes: DataFrame, radius: int, tables: list[list[int]], block: in
 
     filed = nodes.select("node", "fp").mapInArrow(file, "key bigint, node bigint, fp binary")
     # buckets beyond a block, one row for each block of rows at most: dealt into tiles, a row to each pair that has its own
-    large, _ = written(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-buckets")
+    large, _ = written(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-buckets", narrow=True)
     tiles = F.coalesce(F.ceil(F.col("n") / F.lit(block)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     rows = filed.join(large, "key", "left").withColumn("tiles", tiles).withColumn("own", own)
@@ -344,12 +344,12 @@ def near_links(nodes: DataFrame, radius: int, tables: list[list[int]], block: in
 def near_duplicates(prints: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) for rows doc_id and fp, which must be a written table."""
     spark = prints.sparkSession
-    kinds, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-kinds")
+    kinds, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-kinds", narrow=True)
     links, links_path = written(near_links(kinds.where("node is not null"), radius, tables), "simhash-links")
     stars, _ = components(links)
     discard(spark, links_path)
     classes = kinds.join(stars, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    classes, _ = written(classes, "simhash-classes")
+    classes, _ = written(classes, "simhash-classes", narrow=True)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -389,5 +389,5 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     Rows without words or without an id stay.
     """
     gone = similar_components(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone, _ = written(gone, "similar-gone")
+    gone, _ = written(gone, "similar-gone", narrow=True)
     return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")

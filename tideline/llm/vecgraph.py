@@ -331,7 +331,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVER
     parts = []
     for (size,) in sorted(rows.select(F.octet_length("vec")).distinct().collect()):  # lengths of vectors: one, but for odd data
         own = rows.where(F.octet_length("vec") == size)
-        kinds, _ = written(own.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).where("node is not null").select("node", "weight", "vec"), "vector-kinds")
+        kinds, _ = written(own.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).where("node is not null").select("node", "weight", "vec"), "vector-kinds", narrow=True)
         n = kinds.count()
         if not n:
             continue
@@ -350,7 +350,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVER
         stars, _ = components(found.where("b is not null").select("a", "b"))
         counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
         classes = kinds.join(counts, "node", "left").join(stars, "node", "left").select("vec", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-        classes, _ = written(classes, "vector-classes")
+        classes, _ = written(classes, "vector-classes", narrow=True)
         part = own.join(classes, "vec").select("vec_id", "n_links", "component_id", F.lit(recall).alias("audited_recall"))
         out = part if out is None else out.unionByName(part)
     every = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"))
