@@ -89,7 +89,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_start")
     # only digests that occur again are written; units themselves are cheaper to make twice than to keep
     firsts = found.groupBy("_digest").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("_digest", "f")
-    firsts, _ = written(firsts.coalesce(-(-shuffle_width(docs.sparkSession) // 8)), "first-units")
+    firsts, _ = written(firsts.repartition(-(-shuffle_width(docs.sparkSession) // 8)), "first-units")
     later = found.join(firsts, "_digest").where(place != F.col("f"))
     return later.select("_id", "_row", "_start", "_end", F.col("f._id").alias("first_doc"), F.col("f._start").alias("first_start"))
 
