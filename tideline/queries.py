@@ -119,11 +119,11 @@ def candidates_explicit(s, d):
 
 
 def lifecycle(s, d):
-    return _a(s, d).lifecycle
+    return _a(s, d, cached=True).lifecycle
 
 
 def returning(s, d):
-    return _a(s, d).returning
+    return _a(s, d, cached=True).returning
 
 
 def signals(s, d):
@@ -172,7 +172,7 @@ def chunk_videos(s, d):
 
 
 def _clips(s, d):
-    a = _a(s, d)
+    a = _a(s, d, cached=True)
     anchors = a.messages.groupBy("stream_id").agg(F.min("ts_ms").alias("anchor_ms"))
     return clips.plan(a.candidates, anchors, max_duration=900.0, tick_ms=TICK_MS)
 
@@ -208,11 +208,14 @@ REPORTS = {
     "report_spam": (report.spam_ticks, ()),
     "report_lifecycle": (report.lifecycle_lines, ()),
     "report_returning": (report.returning_lines, ("ratio",)),
+    "report_headline": (report.headline, ("duration_s", "duration_min", "overall_score", "best_score")),
+    "report_details": (report.details, ("score", "heat_mean", "heat_peak", "converted_ratio", "returning_ratio", "ratio")),
+    "report_burst_ticks": (report.burst_ticks, ("s",)),
 }
 
 
 def _report(function, names):
-    return lambda s, d: _r6(function(_a(s, d)), *names)
+    return lambda s, d: _r6(function(_a(s, d, cached=True)), *names)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -421,5 +424,13 @@ def oracle_sql() -> dict[str, str]:
         "report_interval_means": c + "SELECT cd.stream_id, cand_id, " + ", ".join(f"round(avg({k}), 6) + 0.0 AS {k}_mean" for k in ("activation", "short_ratio", "long_ratio", "concentration")) + " FROM cd JOIN aud ON aud.stream_id = cd.stream_id AND aud.tick BETWEEN t_start AND t_end JOIN len ON len.stream_id = aud.stream_id AND len.tick = aud.tick GROUP BY 1, 2",
         "report_spam": b + "SELECT stream_id, count(*) FILTER (spam) AS n_spam FROM spm GROUP BY 1",
         "report_lifecycle": c + _COHORTS + "SELECT stream_id, cand_id, t_start, t_end, " + ", ".join(f"{k}, CASE WHEN total_users > 0 THEN CAST(CAST(round_even({k} / total_users * 100, 0) AS BIGINT) AS VARCHAR) || '%' ELSE '--' END AS {k}_pct" for k in ("instant", "persistent", "converted")) + ", total_users, offset_a, offset_b, offset_c FROM lf",
+        "report_headline": full + """, best AS (SELECT stream_id, cand_id AS best_cand_id, round(score, 6) + 0.0 AS best_score, grade AS best_grade, t_start AS best_t_start, t_end AS best_t_end FROM scg
+            QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY score DESC, cand_id) = 1), o AS (SELECT stream_id, 0.5 * avg(heat) + 0.5 * max(heat) AS x FROM ht GROUP BY 1)
+            SELECT bnd.stream_id, n_total, round(dur / 1000, 6) + 0.0 AS duration_s, round(dur / 60000, 6) + 0.0 AS duration_min, (SELECT count(*) FROM cd WHERE cd.stream_id = bnd.stream_id) AS n_intervals,
+            round(x, 6) + 0.0 AS overall_score, CASE WHEN x >= 0.75 THEN 'S' WHEN x >= 0.6 THEN 'A' WHEN x >= 0.45 THEN 'B' WHEN x >= 0.3 THEN 'C' ELSE '' END AS overall_grade,
+            best_cand_id, best_score, best_grade, best_t_start, best_t_end FROM bnd JOIN o USING (stream_id) LEFT JOIN best USING (stream_id)""",
+        "report_details": full + f"""SELECT scg.stream_id, scg.cand_id, scg.t_start, scg.t_end, peak_t, peak_density, level, duration, shape, {_r('score')}, grade, {_r('heat_mean', 'heat_peak', 'converted_ratio', 'returning_ratio')},
+            instant, persistent, converted, lf.total_users, returning_count, round(ratio, 6) + 0.0 AS ratio FROM scg JOIN lf USING (stream_id, cand_id) JOIN rt USING (stream_id, cand_id)""",
+        "report_burst_ticks": b + ", z AS (SELECT stream_id, stddev_pop(s) AS sd FROM bur GROUP BY 1) SELECT stream_id, tick, round(s, 6) + 0.0 AS s FROM bur JOIN z USING (stream_id) WHERE s > 3 * sd",
         "report_returning": c + _COHORTS + "SELECT stream_id, cand_id, t_start, t_end, returning_count, total_users, round(ratio, 6) + 0.0 AS ratio, gap_start <= 0 AS gap_before_start FROM rt",
     }
