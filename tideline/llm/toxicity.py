@@ -40,7 +40,7 @@ TIMES = 8.0
 LEXICON_WORDS = 600
 DIFFERENCES = tuple(range(-3, 24))
 #: Weight of a toxic row in the calibration against an ordinary one.
-TOXIC_WEIGHT = 2.0
+TOXIC_WEIGHT = 1.0
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -139,14 +139,20 @@ def evidence(differences: np.ndarray, usual: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple], counts: dict[str, int]) -> dict:
-    """The model from the learning sample; half of it trains the dictionaries, the other half calibrates."""
+    """The model from the learning sample: dictionaries, and their calibration by texts that they weren't trained on."""
     toxic, ordinary = [r[2] for r in rows if r[1] == "1"], [r[2] for r in rows if r[1] == "0"]
     if len(toxic) < 2 or len(ordinary) < 2:
         total = sum(counts.values())
         return {"constant": counts.get("1", 0) / total if total else 0.0}
-    pair = dictionaries(toxic[::2], ordinary[::2])
-    tell = Differences(pair)
-    dt, do = [tell.of(t) for t in toxic[1::2]], [tell.of(t) for t in ordinary[1::2]]
+    # dictionaries of each half tell what texts of the other look like to them; the final ones are of all texts
+    halves = [(toxic[k::2], ordinary[k::2]) for k in (0, 1)]
+    dt: list[np.ndarray] = []
+    do: list[np.ndarray] = []
+    for own, other in (halves, halves[::-1]):
+        tell = Differences(dictionaries(*own))
+        dt += [tell.of(t) for t in other[0]]
+        do += [tell.of(t) for t in other[1]]
+    pair = dictionaries(toxic, ordinary)
     every = np.concatenate([*do, np.zeros(1, np.int32)])
     usual = np.array([(every >= d).mean() for d in DIFFERENCES])
     x = np.array([evidence(d, usual) for d in dt + do])
