@@ -29,9 +29,12 @@ from tideline.llm.tokens import WordIds, encoder, in_slices
 #: Length classes of a window, lengths in a combination at most, and ids or documents at which a shard is packed.
 CLASSES = 64
 DEPTH = 4
-SHARD_TOKENS = 1 << 23
+SHARD_TOKENS = 1 << 22
 SHARD_DOCS = 1 << 14
 
+#: Chunks that a packing worker's encoder holds: fewer than elsewhere, as packing follows other stages in the same workers.
+HELD = 400_000
+
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -177,6 +180,7 @@ def packed(docs: DataFrame, path: str, end: int = 1, window: int = 2048) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(WordIds, path)
+        words.held = HELD
         tail = np.array([end], f"<u{words.width}").tobytes()
         base = TaskContext.get().partitionId() << 40
         names: list = []
@@ -201,7 +205,7 @@ def packed(docs: DataFrame, path: str, end: int = 1, window: int = 2048) -> Data
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in in_slices(texts, 4_000_000):
+            for lo, hi in in_slices(texts, 2_000_000):
                 for name, coded in zip(ids[lo:hi], words.encode(texts.slice(lo, hi - lo)), strict=True):
                     names.append(name)
                     parts.append(coded + tail)

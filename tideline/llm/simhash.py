@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import discard, ship, shuffle_width, written
 from tideline.llm.components import components, forest
-from tideline.llm.tokens import in_slices, release
+from tideline.llm.tokens import in_slices, release, trim
 
 #: Members of a block of a bucket.
 BLOCK = 2048
@@ -88,6 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
+            trim()
             texts = batch.column(1)
             for lo, hi in in_slices(texts):
                 fp = [fingerprint(t, shingle, words, distinct).astype(">u8").tobytes() for t in texts.slice(lo, hi - lo).to_pylist()]

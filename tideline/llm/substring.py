@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import ship, shuffle_width, written
-from tideline.llm.tokens import in_slices, release
+from tideline.llm.tokens import in_slices, release, trim
 
 LINE_WORDS = 4
 SENTENCE_WORDS = 8
@@ -54,20 +54,18 @@ def digest(unit: str) -> bytes:
 
 
 def text_units(docs: DataFrame) -> DataFrame:
-    """Units long enough to go: _id, _row (digest of the text), start, _end, digest."""
+    """Units long enough to go: _id, _row (hash of the text), _start, _end, _digest."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            trim()
+            ids, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi in in_slices(texts, 4_000_000):
                 name, row, first, last, code = [], [], [], [], []
-                for i, t in zip(ids[lo:hi], texts.slice(lo, hi - lo).to_pylist(), strict=True):
-                    if not t:
-                        continue
-                    own = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                    for kind, a, b, _ in units(t):
+                for i, own, t in zip(ids[lo:hi], hashes[lo:hi], texts.slice(lo, hi - lo).to_pylist(), strict=True):
+                    for kind, a, b, _ in units(t) if t else ():
                         if b - a < 3:
                             continue
                         unit = t[a:b]
@@ -79,10 +77,14 @@ def text_units(docs: DataFrame) -> DataFrame:
                             code.append(digest(unit))
                 yield pa.record_batch([pa.array(name, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(code, pa.binary())], names=["_id", "_row", "_start", "_end", "_digest"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), _row_hash().alias("_row"), F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(run, "_id bigint, _row bigint, _start int, _end int, _digest binary")
 
 
+def _row_hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def repeated_units(docs: DataFrame) -> DataFrame:
     """Units that are not the earliest of their digest: _id, _row, _start, _end, and first_doc and first_start of that one."""
     found = text_units(docs)
@@ -136,27 +138,23 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, all columns kept, with repeated units cut out of text; removed has their (start, end) code points in the original text."""
+    """docs, all columns kept, with repeated units cut out of text; _removed has their (start, end) code points in the original text."""
     ship(docs.sparkSession)
     own = docs.columns
-    spans = _spans(docs).select(F.col("_id").alias("_sid"), F.col("_row").alias("_srow"), "_spans")
-    # the id decides where a row goes; of rows that repeat an id each looks for the spans of its own text
-    rows = docs.withColumn("_tid", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))).join(
-        spans.groupBy(F.coalesce("_sid", F.lit(-(2**63))).alias("_tid")).agg(F.collect_list(F.struct("_srow", "_spans")).alias("_texts")), "_tid", "left"
-    )
+    no_id = F.lit(-(2**63))
+    spans = _spans(docs).select(F.coalesce("_id", no_id).alias("_tid"), F.col("_row").alias("_trow"), "_spans")
+    rows = docs.withColumn("_tid", F.coalesce(F.col("doc_id").cast("bigint"), no_id)).withColumn("_trow", _row_hash()).join(spans, ["_tid", "_trow"], "left")
     schema = docs.select(*own).schema
     place = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
+            trim()
             texts, spans = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             new, gone = [], []
-            for t, by_text in zip(texts, spans, strict=True):
-                cut: list[tuple[int, int]] = []
-                if t and by_text:
-                    row = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                    cut = removed_spans(t, [(x["s"], x["e"]) for y in by_text if y["_srow"] == row for x in y["_spans"]])
+            for t, found in zip(texts, spans, strict=True):
+                cut = removed_spans(t, [(x["s"], x["e"]) for x in found]) if t and found else []
                 new.append(cut_out(t, cut) if cut else t)
                 gone.append([{"start": a, "end": b} for a, b in cut])
             columns = [*batch.columns[:-1]]
@@ -164,4 +162,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*own, "_removed"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.select(*own, "_texts").mapInArrow(run, f"{fields}, _removed array<struct<start:int,end:int>>")
+    return rows.select(*own, "_spans").mapInArrow(run, f"{fields}, _removed array<struct<start:int,end:int>>")

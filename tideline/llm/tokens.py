@@ -76,16 +76,17 @@ def release() -> None:
 
 
 class Rows:
-    """Row numbers of strings, by two keyed 64-bit hashes of each; the strings themselves aren't held."""
+    """Row numbers of strings, by a 128-bit hash of each; the strings themselves aren't held."""
 
     def __init__(self):
         self.hash, self.check, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     @staticmethod
-    def hashed(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        from pandas.util import hash_array
+    def hashed(strings) -> tuple[np.ndarray, np.ndarray]:
+        from xxhash import xxh3_128_digest
 
-        return hash_array(strings, hash_key="tide line keys 1", categorize=False), hash_array(strings, hash_key="tide line keys 2", categorize=False)
+        both = np.frombuffer(b"".join(map(xxh3_128_digest, strings)), "<u8").reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
     def find(self, hashes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Rows, -1 for strings not held."""
@@ -105,12 +106,6 @@ class Rows:
         self.hash, self.check, self.row = self.hash[order], self.check[order], self.row[order]
 
 
-def objects(strings: list[str]) -> np.ndarray:
-    out = np.empty(len(strings), object)
-    out[:] = strings
-    return out
-
-
 class WordIds:
     """Ids of a vocabulary whose cut drops white space: texts are parted at spaces and line feeds.
 
@@ -121,6 +116,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.held = HELD
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -167,8 +163,8 @@ class WordIds:
     def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, and their counts; a sign between chunks parts them."""
         flat, sizes = [], []
-        for lo in range(0, len(chunks), 64_000):
-            some = chunks[lo : lo + 64_000]
+        for lo in range(0, len(chunks), 16_000):
+            some = chunks[lo : lo + 16_000]
             texts = [f" {_BAR} ".join(some[k : k + 1000]) + f" {_BAR}" for k in range(0, len(some), 1000)]
             ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.bar)
@@ -205,7 +201,7 @@ class WordIds:
             if some:
                 flat, size = make(some)
                 first = len(self.flat) + np.cumsum(size) - size
-                self.parts.add(Rows.hashed(objects(some)), len(self.start))
+                self.parts.add(Rows.hashed(some), len(self.start))
                 self.flat = np.concatenate((self.flat, flat))
                 self.start, self.length = np.concatenate((self.start, first)), np.concatenate((self.length, size.astype(np.int32)))
 
@@ -213,7 +209,7 @@ class WordIds:
         """Hold chunks, encoding those of their parts that aren't held."""
         pairs = [self._cores(c) for c in chunks]
         names = list({p for pair in pairs for p in pair})
-        own = Rows.hashed(objects(names))
+        own = Rows.hashed(names)
         known = self.parts.find(own)
         new = np.flatnonzero(known < 0)
         if len(new):
@@ -231,9 +227,9 @@ class WordIds:
         parted = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = parted.flatten().dictionary_encode()
         kinds = coded.dictionary.to_numpy(zero_copy_only=False)
-        if len(self.core) > HELD or len(self.flat) > 6 * HELD:
+        if len(self.core) > self.held or len(self.flat) > 6 * self.held:
             self._clear()
-        hashes = Rows.hashed(kinds)
+        hashes = Rows.hashed(kinds.tolist())
         row = self.chunks.find(hashes)
         new = np.flatnonzero(row < 0)
         if len(new):

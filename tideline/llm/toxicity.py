@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import fold, learning_texts, ship
-from tideline.llm.tokens import in_slices, release
+from tideline.llm.tokens import in_slices, release, trim
 
 #: Bound of the learning sample: rows of each label and characters of each.
 PER_CLASS = 2500
@@ -198,6 +198,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         release()
         scorer = Scorer(model)
         for batch in batches:
+            trim()
             texts = batch.column(1)
             for lo, hi in in_slices(texts):
                 values = [scorer.score(t) for t in texts.slice(lo, hi - lo).to_pylist()]
@@ -215,6 +216,7 @@ def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
         release()
         scorer = Scorer(model)
         for batch in batches:
+            trim()
             texts = batch.column(batch.schema.get_field_index("text"))
             for lo, hi in in_slices(texts):
                 yield batch.slice(lo, hi - lo).filter(pa.array([scorer.score(t) < 0.5 for t in texts.slice(lo, hi - lo).to_pylist()], pa.bool_()))
