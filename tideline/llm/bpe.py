@@ -14,6 +14,7 @@ the library has it; rows that repeat stay as they are; an empty table gives an e
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -75,7 +76,12 @@ class ByteBpe:
 
     def tree(self, part: str) -> list[int]:
         """Ids of one part of the pattern, however long."""
-        level = [e.ids for e in self.whole.encode_batch([part[i : i + LEAF] for i in range(0, len(part), LEAF)], add_special_tokens=False)]
+        before = os.environ.get("TOKENIZERS_PARALLELISM")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # the leaves of one text go to all threads
+        try:
+            level = [e.ids for e in self.whole.encode_batch([part[i : i + LEAF] for i in range(0, len(part), LEAF)], add_special_tokens=False)]
+        finally:
+            os.environ["TOKENIZERS_PARALLELISM"] = before or "false"
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []

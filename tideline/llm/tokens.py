@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ _ENCODERS: dict[tuple, object] = {}
 def encoder(kind: type, path: str):
     """This process's encoder for a file, with its cache; worker processes are used again by later tasks."""
     key = (kind.__name__, path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would each hold memory
     if key not in _ENCODERS:
         _ENCODERS[key] = kind(path)
     return _ENCODERS[key]
