@@ -27,6 +27,8 @@ from tideline.llm.tokens import WordIds, encoder, in_slices
 #: A shard ends with the document that brings it to so many ids or documents.
 SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 13
+#: Chunks that a worker's encoder holds.
+HELD = 2_000_000
 #: Rounds of replacement, pairs replaced in a round at most, and the least count of a pair that is replaced.
 ROUNDS = 5
 PAIRS = 1 << 14
@@ -152,6 +154,7 @@ def write_shards(docs: DataFrame, path: str, end: int = 2) -> tuple[DataFrame, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(WordIds, path)
+        words.held = HELD
         part = TaskContext.get().partitionId()
         tail = np.array([end], f"<u{words.width}").tobytes()
         ids: list = []
