@@ -136,7 +136,7 @@ def _shard_row(part: int, shard: int, base: int, end: int, ids: list[int | None]
     symbols, left, right = compress(seq, base, end)
     ends = np.flatnonzero(symbols == end)
     # texts may hold the end id themselves, so ends are counted by document from the ids
-    inner = np.array([int((seq[lo:hi] == end).sum()) for lo, hi in zip(np.cumsum(tokens) - tokens, np.cumsum(tokens), strict=True)], dtype=np.int64) if len(ends) != len(parts) else np.ones(len(parts), np.int64)
+    inner = np.add.reduceat((seq == end).astype(np.int64), np.cumsum(tokens, dtype=np.int64) - tokens)
     last = ends[np.cumsum(inner) - 1] + 1
     per = np.diff(np.concatenate(([0], last))).astype("<u4")
     null = np.array([i is None for i in ids], np.uint8)
