@@ -161,6 +161,35 @@ def test_similar_documents(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(30)) | set(range(50, 63))
 
 
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = t.lower().split()
+        out.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return out
+
+
+def test_similar_documents_against_brute_force(spark):
+    texts = []
+    for i in range(60):  # an edit of single words apart from each other changes five shingles
+        w = text(rng(500 + i), 40 + 7 * i).split()
+        texts.append(" ".join(w))
+        r = rng(i)
+        for share in (0.09, 0.1, 0.11, 0.12, 0.14):
+            v = list(w)
+            for k in range(max(1, round(share * len(w) / 5))):
+                v[min(len(w) - 1, k * 5 + r.randrange(5) + 5)] = f"edit{i}x{share}"
+            texts.append(" ".join(v))
+    line = "This one line stands at the end of every text and is no reason to link them"
+    texts = [f"{t}\n{line}" for t in texts] + [texts[0] + f" tail{k}" for k in range(50)]
+    texts += [" ".join(f"w{k}" for k in range(22)), " ".join(f"w{k}" for k in range(20)) + " x y"]  # 16 of 20 shingles
+    sets = shingle_sets(texts)
+    similar = [(i, j, len(a & sets[j]) / len(a | sets[j])) for i, a in enumerate(sets) for j in range(i)]
+    assert sum(0.8 <= s < 0.85 for *_, s in similar) > 20 and sum(0.75 <= s < 0.8 for *_, s in similar) > 20
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == components(len(texts), [(i, j) for i, j, s in similar if s >= 0.8])
+
+
 def test_substring(spark):
     own = [text(rng(200 + i), 60) for i in range(6)]
     w = own[1].split()

@@ -12,6 +12,8 @@ Defined results: a null text has no words, so its fingerprint is zero, linked li
 fingerprints are one component whatever their number; rows that repeat an id get the same component; a null id
 takes part with the rows of its fingerprint and never names a component unless alone; an empty table gives an empty
 result; other columns are ignored.
+
+Similar documents are found without fingerprints: by the rarest shingles of each document, and then by the whole sets.
 """
 
 from __future__ import annotations
@@ -65,24 +67,14 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([h(joined[a:b], _SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1, distinct: bool = False) -> np.ndarray:
-    """words * 64 bits: of every hash (and of further hashes mixed from it) those set in over half."""
+def fingerprint(text: str | None, shingle: int = 3) -> np.ndarray:
+    """64 bits: those that over half of the hashes have set."""
     h = shingle_hashes(text, shingle)
-    if distinct:
-        h = np.unique(h)
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        x = h
-        if k:
-            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(32))
-        out[k] = np.packbits(2 * _counts(x) > len(x)).view(">u8")[0]
-    return out
+    return np.packbits(2 * _counts(h) > len(h)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and fp (8 * words bytes, the most significant first) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and fp (8 bytes, the most significant first) of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
             trim()
             texts = batch.column(1)
             for lo, hi in in_slices(texts):
-                fp = [fingerprint(t, shingle, words, distinct).astype(">u8").tobytes() for t in texts.slice(lo, hi - lo).to_pylist()]
+                fp = [fingerprint(t, shingle).astype(">u8").tobytes() for t in texts.slice(lo, hi - lo).to_pylist()]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp binary")
@@ -110,11 +102,6 @@ def exact_tables(bits: int, radius: int, extra: int = 2) -> list[list[int]]:
     return [[i for r in chosen for i in r] for chosen in combinations(ranges, extra)]
 
 
-def banded_tables(bits: int, width: int) -> list[list[int]]:
-    """Disjoint bands of so many bits: fingerprints that differ much share one of them only likely."""
-    return [list(range(a, a + width)) for a in range(0, bits - width + 1, width)]
-
-
 def _keys(fp: np.ndarray, tables: list[list[int]]) -> np.ndarray:
     """Keys of fingerprints (n, words) in each table, table number included: (n, tables) int64."""
     bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), -1), axis=1)
@@ -363,25 +350,170 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
 
 # -- similar documents -----------------------------------------------------------------------------------------------
 
-#: Bits of a band and bands: documents of similarity 0.8 (a chance of 0.15 for each bit to differ) share one of 32 bands
-#: of 14 bits with a chance of 0.97. 14 bits serve up to some ten million documents, 20 bits and 120 bands any more.
-BANDS = ((16_000_000, 14, 32), (1 << 62, 20, 80))
+#: Documents whose shingles are counted to learn which are common, and common shingles told to all tasks. Both only
+#: order a document's shingles: any order that is the same for all documents finds the same pairs.
+ORDER_DOCS = 20_000
+ORDER_WORDS = 1 << 18
+
+
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    """Shingles that a set of n shares with any set of the similarity at least."""
+    return max(1, int(np.ceil(n * similarity - 1e-9)))
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that several of some documents have, and in how many."""
+    rate = ORDER_DOCS / max(ORDER_DOCS, docs.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array(_set(t, shingle).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_003)) < F.lit(rate * 1_000_003))
+    counts = some.select(F.col("text").cast("string")).mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(ORDER_WORDS).toArrow()
+    h, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """key, node, size and pos of the rarest shingles of each document, so many that documents of the similarity share one.
+
+    Of n shingles, similar sets share least_overlap(n) at least; so in one order of all shingles, the first
+    n - least_overlap(n) + 1 of both have one in common.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    known = spark.sparkContext.broadcast(_common(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        hashes, counts = known.value
+        for batch in batches:
+            trim()
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for lo, hi in in_slices(texts):
+                keys, sizes = [], []
+                for t in texts.slice(lo, hi - lo).to_pylist():
+                    h = _set(t, shingle)
+                    if len(hashes):
+                        place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                        h = h[np.argsort(np.where(hashes[place] == h, counts[place], 0), kind="stable")]
+                    keys.append(h[: len(h) - least_overlap(len(h), similarity) + 1].view(np.int64))
+                    sizes.append(len(h))
+                n = np.array([len(k) for k in keys])
+                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids[lo:hi], n)), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "node", "size", "pos"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "key bigint, node bigint, size int, pos int")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of prefixes whose key another row has too, with pivot, the least node of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again, pivot = None, False, 0  # the last row waits for the next key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if held is not None:
+                now = [np.concatenate((h, x)) for h, x in zip(held, now, strict=True)]
+            key, first_node = now[0], now[1].copy()
+            before = np.concatenate(([False], key[1:] == key[:-1]))
+            if held is not None:
+                first_node[0] = pivot
+            least = first_node[np.maximum.accumulate(np.where(before, 0, np.arange(len(key))))]
+            before[0] = again
+            keep = np.flatnonzero(before[:-1] | (key[1:] == key[:-1]))
+            yield pa.record_batch([pa.array(x[keep]) for x in (*now, least)], names=["key", "node", "size", "pos", "pivot"])
+            held, again, pivot = [x[-1:] for x in now], bool(before[-1]), int(least[-1])
+        if again:
+            yield pa.record_batch([*(pa.array(x) for x in held), pa.array([pivot], pa.int64())], names=["key", "node", "size", "pos", "pivot"])
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key bigint, node bigint, size int, pos int, pivot bigint")
+
+
+def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets (ascending, distinct) is reached."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose whole shingle sets have the similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            trim()
+            texts = batch.column(1)
+            for lo, hi in in_slices(texts):
+                raw = [_set(t, shingle).tobytes() for t in texts.slice(lo, hi - lo).to_pylist()]
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["node", "hashes"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = batch.column(2), batch.column(3)
+            ok = [similar_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(own, other, strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
+    found, _ = written(rows.join(named, "node", "left_semi").mapInArrow(sets, "node bigint, hashes binary"), "similar-sets")
+    a = found.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    b = found.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(test, "a bigint, b bigint")
+
+
+def _stars(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """node and component of each document that isn't the least of its component.
+
+    First each document is tested against one other that shares a shingle of its prefix, then all pairs that share
+    one and are still apart; so a group of many similar documents isn't compared pair by pair.
+    """
+    spark = docs.sparkSession
+    shared, shared_path = written(_shared(prefixes(docs, similarity, shingle)), "similar-shared")
+    tested, tested_path = written(shared.where("node <> pivot").groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b")), "similar-pairs", narrow=True)
+    links, _ = written(_verified(docs, tested, similarity, shingle), "similar-links", narrow=True)
+    near, _ = components(links)
+    placed = shared.join(near, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("component"))
+    placed, placed_path = written(placed, "similar-placed")
+    discard(spark, shared_path)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("m")).where("l < m").select("key")
+    own = placed.join(mixed, "key")
+    x = own.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "pos", "component")))
+    y = own.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "pos", "component")))
+    # of a similar pair's shared shingles, the first bounds what they share by what comes after it
+    most = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))
+    enough = most >= (F.col("x_size") + F.col("y_size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    pairs = x.join(y, "key").where((F.col("x_component") < F.col("y_component")) & enough)
+    pairs = pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs, _ = written(pairs, "similar-pairs")
+    discard(spark, placed_path, tested_path)
+    more, _ = written(_verified(docs, pairs, similarity, shingle), "similar-links", narrow=True)
+    return components(links.unionByName(more))[0]
+
+
+def _filled(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null and doc_id is not null and text rlike '[^ \\t-\\r]'")
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id and component_id of every row with a text, by the estimated Jaccard similarity of their sets of word shingles.
+    """doc_id and component_id of every row with a text, by the Jaccard similarity of their sets of word shingles.
 
-    Long fingerprints make the estimate sharp: of b bits, a share of arccos(2 s / (1 + s)) / pi differs at similarity
-    s, and the radius is half a standard deviation beyond it.
+    All pairs of the similarity are found, and none below it is linked, whatever the number of documents.
     """
-    n = docs.count()
-    width, bands = next((w, k) for most, w, k in BANDS if n <= most)
-    words = -(-width * bands // 64)
-    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(64 * words * differ + 0.5 * np.sqrt(64 * words * differ * (1 - differ)))
-    filled = docs.where("text is not null and doc_id is not null and text rlike '[^ \\t-\\r]'")
-    prints, _ = written(fingerprints(filled, shingle, words, distinct=True), "similar-prints")
-    return near_duplicates(prints, radius, banded_tables(width * bands, width)).select("doc_id", "component_id")
+    stars = _stars(_filled(docs), similarity, shingle)
+    ids = _filled(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    return ids.join(stars, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -389,6 +521,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
 
     Rows without words or without an id stay.
     """
-    gone = similar_components(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = _stars(_filled(docs), similarity, shingle).select(F.col("node").alias("_gone")).distinct()
     gone, _ = written(gone, "similar-gone", narrow=True)
     return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
