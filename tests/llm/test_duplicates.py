@@ -209,6 +209,25 @@ def test_substring(spark):
     assert substring.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_substring_of_short_units(spark):
+    own = [text(rng(700 + i), 60) for i in range(12)]
+    lines = "\n".join(f"row {k}" for k in range(30))
+    sentences = " ".join(f"It was day {k}." for k in range(15))
+    names = "gestern sah Anna Berta Carl im Haus am Markt und dann Doris Emil auf dem Weg nach Hause bei Frau Gerda Huber"
+    chinese = "这是一段在多个文件中重复出现的中文文字。它没有空格，但是读者会认出它来。"
+    texts = []
+    for k, passage in enumerate((lines, sentences, names, chinese)):
+        texts += [own[3 * k] + "\n" + passage, own[3 * k + 1] + "\n" + passage + "\n" + own[3 * k + 2]]
+    texts += ["Yes.\n" + text(rng(800), 30), "Yes.\n" + text(rng(801), 30), "这里的开头与众不同各有各的样子。" + chinese, "\n".join(["ha"] * 16)]
+    new = {r["doc_id"]: r["text"] for r in substring.deduplicated(documents(spark, texts)).collect()}
+    for k in range(4):
+        assert new[2 * k] == texts[2 * k]
+        assert new[2 * k + 1] == own[3 * k + 1] + "\n" + own[3 * k + 2]
+    assert new[8] == texts[8] and new[9] == texts[9]  # one short line among others stays
+    assert new[10] == "这里的开头与众不同各有各的样子。"
+    assert new[11] == "\n".join(["ha"] * 8)  # the first run of eight words stays whole
+
+
 def vector_brute(vectors, ids):
     ok = [i for i, v in enumerate(vectors) if v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     x = {i: np.array(vectors[i], float) / np.linalg.norm(vectors[i]) for i in ok}

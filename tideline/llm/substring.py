@@ -2,11 +2,14 @@
 
 A text's units are its lines and, within a line, its sentences: a sentence ends after a full stop, question or
 exclamation mark that white space follows, or before a capitalised word that follows a word without capitals (where
-a passage was put into the middle of a sentence). Units are normalised (white space runs to one space, case folded)
+a passage was put into the middle of a sentence), or after a full stop of Chinese and Japanese. Units are normalised (white space runs to one space, case folded)
 and digested; digests are grouped globally, combined in each task before the shuffle; the earliest occurrence (least
 doc_id, then offset) stays and all others go. A line that goes takes its sentences with it. Lines under LINE_WORDS
-and sentences under SENTENCE_WORDS words are too common by chance to go on their own; a short sentence goes if both
-its neighbours in the line go. A passage between words of another sentence may keep its last words up to its last
+and sentences under SENTENCE_WORDS words are too common by chance to go on their own; they go in runs: from each short
+unit on, and up to each, so many neighbours (in other lines too) as have SENTENCE_WORDS words together are one more unit.
+A short sentence also goes if both its neighbours in the line go. Text without spaces counts by its characters. So a
+short unit stays, however often it is repeated, where its neighbours differ. A run that overlaps its own first
+occurrence stays. A passage between words of another sentence may keep its last words up to its last
 full stop there, and whatever stands before its first capital.
 
 Defined results: a null text counts as empty, has no units and stays null; a document may become empty; rows that
@@ -29,7 +32,7 @@ from tideline.llm.tokens import in_slices, release, trim
 
 LINE_WORDS = 4
 SENTENCE_WORDS = 8
-_BREAK = re.compile(r"(?<=[.!?])([^\w\s.!?]{0,4})[ \t]+(?=\S)|(?<=[^\s.!?A-ZÀ-ÖØ-Þ])[ \t]+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
+_BREAK = re.compile(r"(?:(?<=[。！？])|(?<=[。！？][”’」』）]))(?=[^\s。！？”’」』）])|(?<=[.!?])([^\w\s.!?]{0,4})[ \t]+(?=\S)|(?<=[^\s.!?A-ZÀ-ÖØ-Þ])[ \t]+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
 
 
 def units(text: str) -> list[tuple[int, int, int, int]]:
@@ -49,12 +52,60 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+#: Characters of scripts without spaces: two (Chinese, Japanese) or four (Thai, Lao, Burmese, Khmer) count as a word.
+_TWO = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_FOUR = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+
+
+def normal(unit: str) -> str:
+    return " ".join(unit.lower().split())
+
+
+def word_count(unit: str) -> int:
+    """Words of a normalised unit."""
+    n = unit.count(" ") + 1 if unit else 0
+    if not unit.isascii():
+        n += len(_TWO.findall(unit)) // 2 + len(_FOUR.findall(unit)) // 4
+    return n
+
+
 def digest(unit: str) -> bytes:
-    return hashlib.blake2b(" ".join(unit.lower().split()).encode("utf-8", "replace"), digest_size=16).digest()
+    """Of a normalised unit."""
+    return hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def long_units(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, normalised text) of the units that go if they are repeated: long lines and sentences, runs of short ones."""
+    out, fine = [], []
+    every = units(text)
+    several = {n for kind, _, _, n in every if kind}
+    for kind, a, b, n in every:
+        own = normal(text[a:b])
+        if not own:
+            continue
+        count = word_count(own)
+        short = count < (SENTENCE_WORDS if kind else LINE_WORDS) or b - a < 3
+        if not short:
+            out.append((a, b, own))
+        if kind or n not in several:
+            fine.append((a, b, own, count, short))
+    runs = set()
+    for k, (*_, short) in enumerate(fine):
+        if not short:
+            continue
+        for step in (1, -1):
+            at, total = k, fine[k][3]
+            while total < SENTENCE_WORDS and 0 <= at + step < len(fine):
+                at += step
+                total += fine[at][3]
+            if total >= SENTENCE_WORDS:
+                runs.add((min(k, at), max(k, at)))
+    out += [(fine[i][0], fine[j][1], " ".join(f[2] for f in fine[i : j + 1])) for i, j in sorted(runs) if j > i]
+    return out
 
 
 def text_units(docs: DataFrame) -> DataFrame:
-    """Units long enough to go: _id, _row (hash of the text), _start, _end, _digest."""
+    """Units long enough to go, runs of short ones among them: _id, _row (hash of the text), _start, _end, _digest."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,16 +116,12 @@ def text_units(docs: DataFrame) -> DataFrame:
             for lo, hi in in_slices(texts, 4_000_000):
                 name, row, first, last, code = [], [], [], [], []
                 for i, own, t in zip(ids[lo:hi], hashes[lo:hi], texts.slice(lo, hi - lo).to_pylist(), strict=True):
-                    for kind, a, b, _ in units(t) if t else ():
-                        if b - a < 3:
-                            continue
-                        unit = t[a:b]
-                        if len(unit.split(None, SENTENCE_WORDS)) >= (SENTENCE_WORDS if kind else LINE_WORDS):
-                            name.append(i)
-                            row.append(own)
-                            first.append(a)
-                            last.append(b)
-                            code.append(digest(unit))
+                    for a, b, unit in long_units(t) if t else ():
+                        name.append(i)
+                        row.append(own)
+                        first.append(a)
+                        last.append(b)
+                        code.append(digest(unit))
                 yield pa.record_batch([pa.array(name, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(code, pa.binary())], names=["_id", "_row", "_start", "_end", "_digest"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), _row_hash().alias("_row"), F.col("text").cast("string").alias("_text"))
@@ -88,24 +135,38 @@ def _row_hash():
 def repeated_units(docs: DataFrame) -> DataFrame:
     """Units that are not the earliest of their digest: _id, _row, _start, _end, and first_doc and first_start of that one."""
     found = text_units(docs)
-    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_start")
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_start", "_end")
     # only digests that occur again are written; units themselves are cheaper to make twice than to keep
     firsts = found.groupBy("_digest").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("_digest", "f")
     firsts, _ = written(firsts.repartition(-(-shuffle_width(docs.sparkSession) // 8)), "first-units")
-    later = found.join(firsts, "_digest").where(place != F.col("f"))
+    overlaps = F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_row") == F.col("f._row")) & (F.col("_start") < F.col("f._end"))
+    later = found.join(firsts, "_digest").where(~overlaps)
     return later.select("_id", "_row", "_start", "_end", F.col("f._id").alias("first_doc"), F.col("f._start").alias("first_start"))
 
 
 def removed_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of a text that go, given its repeated units: merged, with short sentences between two of them."""
-    gone = set(spans)
+    """Spans of a text that go, given its repeated units: those of runs, and short sentences between two that go, among them."""
     every = units(text)
-    lines = {n for kind, a, b, n in every if kind == 0 and (a, b) in gone}
-    out = [(a, b) for kind, a, b, n in every if kind == 0 and n in lines]
+    farthest: dict[int, int] = {}
+    for a, b in spans:
+        farthest[a] = max(b, farthest.get(a, 0))
+    goes, starts = {}, sorted(farthest.items())
+    at, end = 0, -1
+    for place in sorted({(a, b) for _, a, b, _ in every}, key=lambda u: (u[0], -u[1])):
+        while at < len(starts) and starts[at][0] <= place[0]:
+            end = max(end, starts[at][1])
+            at += 1
+        goes[place] = place[1] > place[0] and place[1] <= end
+    lines = {n for kind, a, b, n in every if kind == 0 and goes[a, b]}
     inner = [(a, b, n) for kind, a, b, n in every if kind == 1 and n not in lines]
-    hit = [(a, b) in gone for a, b, _ in inner]
+    hit = [goes[a, b] for a, b, _ in inner]
+    stay = {n for (a, b, n), h in zip(inner, hit, strict=True) if not h and a < b}
+    lines |= {n for _, _, n in inner if n not in stay}  # all its sentences go
+    out = [(a, b) for kind, a, b, n in every if kind == 0 and n in lines]
     for k, (a, b, n) in enumerate(inner):
-        short = len(text[a:b].split(None, SENTENCE_WORDS)) < SENTENCE_WORDS
+        if n in lines:
+            continue
+        short = word_count(normal(text[a:b])) < SENTENCE_WORDS
         between = 0 < k < len(inner) - 1 and hit[k - 1] and hit[k + 1] and inner[k - 1][2] == n == inner[k + 1][2]
         if hit[k] or (short and between):
             out.append((a, b))
@@ -132,7 +193,7 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """One row per document with repeated units: _id, _row and _spans, as many as its text has units at most."""
+    """One row per document with repeated units: _id, _row and _spans, at most three for each unit of its text."""
     one = F.struct(F.col("_start").alias("s"), F.col("_end").alias("e"))
     return repeated_units(docs).groupBy("_id", "_row").agg(F.collect_set(one).alias("_spans"))
 
