@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
+import re
 import tempfile
 import threading
 import uuid
 import zipfile
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,11 +52,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests).
+
+    Without the setting a session on a cluster is refused: its machines share no local folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-shared-"))
             found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -73,6 +81,78 @@ def written(df: DataFrame, tag: str, narrow: bool = False) -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that docs has no column of, so that a column of the user's never meets one of ours."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        own, k = name, 0
+        while own.lower() in taken:
+            own, k = f"{name}_{k}", k + 1
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash that names a row by its id and its whole text, so that rows which only share an id are told apart."""
+    return F.xxhash64(doc_id.cast("bigint"), doc_id.isNull(), text.cast("string"), text.isNull())
+
+
+#: Bits of a key filter for each key, and the most in all (1 MiB); beyond, more rows pass it than need to.
+FILTER_BITS = 16
+MOST_FILTER_BITS = 1 << 23
+
+
+def key_filter(keys: DataFrame, name: str, n: int) -> Callable[[Column], Column]:
+    """A test for hashes (bigint): true for each of the n in the column, and for few others, sized from n up to a bound.
+
+    What it lets pass is joined afterwards, so the bound costs time alone. Rows that it turns away need no shuffle.
+    """
+    bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * max(1, n) - 1).bit_length()))
+    shift = 64 - bits.bit_length() + 1
+
+    def bit(key: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(31)).cast("int"))
+
+    def word(key: Column) -> Column:
+        return F.shiftrightunsigned(key, shift + 5)
+
+    words = keys.select(word(F.col(name)).alias("id"), bit(F.col(name)).alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    dense = keys.sparkSession.range(bits // 32).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    held = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits"))
+    return lambda key: F.get(held.scalar(), word(key).cast("int")).bitwiseAND(bit(key)) != 0
+
+
+#: An entry that more than this share of all rows look up is told to all tasks: there are at most so many of them.
+HOT_ENTRIES = 4096
+
+
+def looked_up(rows: DataFrame, entries: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+    """Rows with the entry of their keys. size is the column with an entry's number of rows, of n in all.
+
+    Hot entries are broadcast, so that no task gets all rows of a hot key; there are HOT_ENTRIES of them at most.
+    """
+    hot = F.col(size) > max(1000, n // HOT_ENTRIES)
+    own = entries.where(hot)
+    rest = rows.join(F.broadcast(own.select(*keys)), keys, "left_anti").join(entries.where(~hot), keys)
+    return rows.join(F.broadcast(own), keys).unionByName(rest)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, name: str) -> DataFrame:
+    """docs but the rows whose key is in the column of gone (a written table); rows that the key filter clears aren't shuffled."""
+    maybe = key_filter(gone, name, gone.count())(key)
+    own = fresh(docs, "_key")[0]
+    rest = docs.where(maybe).withColumn(own, key).join(gone.select(F.col(name).alias(own)), own, "left_anti").select(*docs.columns)
+    return docs.where(~maybe).unionByName(rest)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect plans that are no longer referred to, so that Spark's cleaner deletes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -105,13 +185,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def learning_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> tuple[list[tuple], dict[str, int]]:
-    """A bounded sample of labelled rows for fitting: ((id, label, text) without near copies, in hashed order), and rows of each label.
+def learning_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> tuple[list[tuple], dict[str, int]]:
+    """A bounded sample of labelled rows for fitting: ((id, label, whole text) without near copies, in hashed order), and rows of each label.
 
     labels: doc_id and the label column, learning rows only. About 1.2 * per_class rows of each label are gathered
-    at most, and of each max_chars characters from a hashed start: per_class and max_chars are the documented
-    bound of the classifiers here. Which rows are taken depends on their ids alone. Of rows that share most of
-    their word sequences one stays, so that a large group of copies doesn't outweigh the rest.
+    at most, of texts of up to longest characters: per_class and longest are the documented bound of the classifiers
+    here. Which rows are taken depends on their ids and lengths alone; an id that repeats gives one text, the least.
+    Of rows that share most of their word sequences one stays, so that a large group of copies doesn't outweigh the rest.
     """
     lab = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col(label).cast("string").alias("_y")).where("_id is not null and _y is not null")
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -121,18 +201,19 @@ def learning_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     for y, n in counts.items():
         rate = F.when(F.col("_y") == F.lit(y), F.lit(min(1.0, 1.2 * per_class / n))).otherwise(rate)
     unit = F.pmod(F.xxhash64(F.col("_id"), F.lit(17)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    ids = sorted({(r["_id"], r["_y"]) for r in lab.where(unit < rate).collect()})
+    ids = sorted((r["_id"], r["_y"]) for r in lab.where(unit < rate).distinct().collect())
     if not ids:
         return [], counts
     small = docs.sparkSession.createDataFrame(ids, "_id bigint, _y string")  # about 1.2 * per_class rows a label
-    start = F.pmod(F.xxhash64(F.col("_id"), F.lit(23)), F.greatest(F.lit(1), F.length("_t") - F.lit(max_chars))).cast("int") + 1
     rows = (
-        docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+        docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+        .where(F.length("_t") <= longest)
         .join(F.broadcast(small), "_id")
-        .select("_id", "_y", F.substring("_t", start, F.lit(max_chars)).alias("_t"))
+        .groupBy("_id", "_y")
+        .agg(F.min("_t").alias("_t"))
         .collect()
     )
-    order = sorted({(r["_id"], r["_y"], r["_t"]) for r in rows}, key=lambda r: (zlib.crc32(b"%d" % r[0]), r))
+    order = sorted(((r["_id"], r["_y"], r["_t"]) for r in rows), key=lambda r: (zlib.crc32(b"%d" % r[0]), r))
     seen: set = set()
     out = []
     for r in order:

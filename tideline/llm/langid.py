@@ -5,11 +5,13 @@ folded. The kernel of two windows is the share of n-grams they have in common (t
 of their norms). Landmarks are learning windows, the same number of each language; a window is described by its
 kernels with the landmarks, whitened by their own kernel matrix, and ridge regressions against each language score
 it. A batch of windows is scored by matrix products. A document's scores are the mean of its windows' scores, so
-whole texts of any length count alike; a softmax of them gives the confidence.
+whole texts of any length count alike; a softmax of them gives the confidence. Windows are scored in blocks, so that
+one long text takes no more memory than many short ones.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any learning row every text
 is `und`; with one language every text with letters is that; ties go to the language first in the alphabet; rows
-that repeat are predicted each; an empty table gives an empty result; other columns are ignored.
+that repeat are predicted each, null ids too (never held out); an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from tideline.llm.common import fold, learning_texts, ship
 from tideline.llm.tokens import in_slices
 
-#: Bound of the learning sample: rows of each language and characters of each.
-PER_CLASS = 600
-MAX_CHARS = 1200
+#: Bound of the learning sample: rows of each language, and characters of a text that may be in it.
+PER_CLASS = 300
+LONGEST = 20_000
 LANDMARKS = 48
 WINDOW = 1024
+#: Windows whose presence values are held at once, 64 KiB each.
+BLOCK = 512
 BITS = 14
 LENGTHS = (1, 2, 3, 4)
 RIDGE = 1e-2
@@ -36,16 +40,23 @@ RIDGE = 1e-2
 SHARPNESS = 6.0
 
 
-def presence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of 2**BITS presence values, scaled to length 1, for each window of texts; and each row's text."""
-    cut = [max(1, -(-len(t) // WINDOW)) for t in texts]
+def presence(texts: list[bytes], starts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 2**BITS presence values, scaled to length 1, for each window of texts; and each row's text.
+
+    An n-gram belongs to the window that it starts in. starts: in how many first bytes of each text n-grams may
+    start, the rest being what follows a part of a longer text; the whole text if not given.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    head = size if starts is None else np.array(starts, np.int64)
+    cut = np.maximum(1, -(-head // WINDOW))
     owner = np.repeat(np.arange(len(texts)), cut)
     out = np.zeros((len(owner), 1 << BITS), np.float32)
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
-    size = np.array([len(t) for t in texts], np.int64)
-    end = np.repeat(np.cumsum(size), size)  # where the text of each byte ends
     begin = np.cumsum(size) - size
-    row = (np.cumsum(cut) - cut)[np.repeat(np.arange(len(texts)), size)] + (np.arange(len(data)) - np.repeat(begin, size)) // WINDOW if len(data) else np.zeros(0, np.int64)
+    end = np.repeat(begin + size, size)  # where the text of each byte ends
+    place = np.arange(len(data)) - np.repeat(begin, size)
+    inside = place < np.repeat(head, size)
+    row = np.repeat(np.cumsum(cut) - cut, size) + np.where(inside, place, 0) // WINDOW
     code = np.zeros(len(data), np.uint32)
     flat = out.reshape(-1)
     base = row << BITS
@@ -54,13 +65,39 @@ def presence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             break
         code = code[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(n)
         at = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
-        fits = np.arange(len(at)) + n <= end[: len(at)]
+        fits = (np.arange(len(at)) + n <= end[: len(at)]) & inside[: len(at)]
         flat[(base[: len(at)] + at)[fits]] = 1.0
     norm = np.sqrt(np.einsum("ij,ij->i", out, out))
     out /= np.maximum(norm, 1.0)[:, None]
     return out, owner
 
 
+def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Presence values of all windows in turn, at most so many at once however long a text is, and each row's text."""
+    own: list[int] = []
+    parts: list[bytes] = []
+    starts: list[int] = []
+    held = 0
+
+    def done() -> tuple[np.ndarray, np.ndarray]:
+        x, owner = presence(parts, starts)
+        return x, np.array(own)[owner]
+
+    for i, t in enumerate(texts):
+        for lo in range(0, max(1, len(t)), most * WINDOW):
+            n = min(len(t) - lo, most * WINDOW)
+            windows = max(1, -(-n // WINDOW))
+            if held and held + windows > most:
+                yield done()
+                own, parts, starts, held = [], [], [], 0
+            own.append(i)
+            parts.append(t[lo : lo + n + max(LENGTHS) - 1])
+            starts.append(n)
+            held += windows
+    if held:
+        yield done()
+
+
 def folded(text: str) -> bytes:
     return " ".join(text.lower().split()).encode("utf-8", "replace")
 
@@ -72,13 +109,20 @@ def fit(rows: list[tuple]) -> dict:
         return {"langs": langs}
     texts = [folded(r[2]) for r in rows]
     keep = [i for i, t in enumerate(texts) if t]
-    x, owner = presence([texts[i] for i in keep])
-    y = np.array([langs.index(rows[keep[i]][1]) for i in owner])
-    chosen = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS] for k in range(len(langs))])
-    marks = x[chosen]
+    some = [texts[i] for i in keep]
+    counts = [max(1, -(-len(t) // WINDOW)) for t in some]
+    y = np.repeat([langs.index(rows[i][1]) for i in keep], counts)
+    chosen = np.sort(np.concatenate([np.flatnonzero(y == k)[:LANDMARKS] for k in range(len(langs))]))
+    marks = np.zeros((len(chosen), 1 << BITS), np.float32)
+    at = 0
+    for x, _ in blocks(some):
+        inside = (chosen >= at) & (chosen < at + len(x))
+        marks[inside] = x[chosen[inside] - at]
+        at += len(x)
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     whiten = vector / np.sqrt(np.maximum(value, 1e-6))
-    z = np.c_[(x @ marks.T).astype(np.float64) @ whiten, np.ones(len(x))]
+    z = np.concatenate([(x @ marks.T).astype(np.float64) @ whiten for x, _ in blocks(some)])
+    z = np.c_[z, np.ones(len(z))]
     target = (y[:, None] == np.arange(len(langs))).astype(float)
     weight = 1.0 / np.bincount(y, minlength=len(langs))[y]  # languages count alike
     a = (z * weight[:, None]).T @ z + RIDGE * np.eye(z.shape[1])
@@ -89,16 +133,17 @@ def fit(rows: list[tuple]) -> dict:
 def learn(docs: DataFrame) -> dict:
     """Fit on text and language of rows outside the held-out fold."""
     labels = docs.where(fold(F.col("doc_id"), 4) != 2).where("lang is not null").select("doc_id", "lang")
-    rows, _ = learning_texts(docs, labels, "lang", PER_CLASS, MAX_CHARS)
+    rows, _ = learning_texts(docs, labels, "lang", PER_CLASS, LONGEST)
     return fit(rows)
 
 
 def scores(model: dict, texts: list[bytes]) -> np.ndarray:
     """Texts' mean scores by language."""
-    x, owner = presence(texts)
-    s = (x @ model["marks"]) @ model["weights"] + model["bias"]
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    return np.add.reduceat(s, first, axis=0) / np.diff(np.append(first, len(owner)))[:, None]
+    total, count = np.zeros((len(texts), len(model["langs"]))), np.zeros(len(texts))
+    for x, owner in blocks(texts):
+        np.add.at(total, owner, (x @ model["marks"]) @ model["weights"] + model["bias"])
+        count += np.bincount(owner, minlength=len(texts))
+    return total / count[:, None]
 
 
 def predicted(docs: DataFrame, model: dict) -> DataFrame:

@@ -6,8 +6,8 @@ value is its share of the text's words, scaled. FTRL-proximal keeps weights spar
 of a sparse dot product, recalibrated so that 0.7 is where labels of the learning rows are told apart best.
 
 Defined results: a null text counts as empty; texts without words have the score of the bias alone; without
-learning rows of both labels all scores are the share of label 1 (0 without any); rows that repeat are scored each;
-an empty table gives an empty result; other columns are ignored.
+learning rows of both labels all scores are the share of label 1 (0 without any); rows that repeat are scored each,
+null ids too (never held out); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from tideline.llm.common import fold, learning_texts, ship
 from tideline.llm.tokens import in_slices
 
-#: Bound of the learning sample: rows of each label and characters of each.
-PER_CLASS = 3000
-MAX_CHARS = 8000
+#: Bound of the learning sample: rows of each label, and characters of a text that may be in it.
+PER_CLASS = 2500
+LONGEST = 50_000
 BITS = 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.2, 1.0
@@ -179,7 +179,7 @@ def fit(rows: list[tuple], counts: dict[str, int]) -> dict:
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
     """Fit on labels of rows outside the held-out fold."""
-    rows, counts = learning_texts(docs, labels.where(fold(F.col("doc_id"), 4) != 2), "quality", PER_CLASS, MAX_CHARS)
+    rows, counts = learning_texts(docs, labels.where(fold(F.col("doc_id"), 4) != 2), "quality", PER_CLASS, LONGEST)
     return fit(rows, counts)
 
 
