@@ -17,8 +17,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.deduplicated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.length("text").alias("n_kept"), F.size("_removed").alias("n_removed"), F.col("_removed").alias("removed"), "text")
+    found = substring.deduplicated(table(spark, sf_dir, "documents"), removed="removed")
+    return found.select("doc_id", F.length("text").alias("n_kept"), F.size("removed").alias("n_removed"), "removed", "text")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
