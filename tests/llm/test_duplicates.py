@@ -58,8 +58,8 @@ def test_directory_doubles(spark):
 
 def test_collision_of_hashes_is_seen(spark, monkeypatch):
     def weak(docs):
-        rows = docs.select(F.col("doc_id").alias("_id"), F.length("text").alias("_len"), F.col("text").alias("_norm"))
-        return rows.select("_id", "_len", "_norm", F.lit(7).cast("bigint").alias("_key"), F.lit("same").alias("_sha"))
+        rows = docs.select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_row"), F.length("text").alias("_len"), F.col("text").alias("_norm"))
+        return rows.select("_id", "_row", "_len", "_norm", F.lit(7).cast("bigint").alias("_key"), F.lit("same").alias("_sha"))
 
     monkeypatch.setattr(exact, "keyed", weak)
     rows = exact.exact_groups(documents(spark, ["one", "two", "one", "four"])).collect()
@@ -196,7 +196,7 @@ def test_substring(spark):
     inside = " ".join(w[:20]) + " lower words here " + PLANTED + " " + " ".join(w[20:])
     texts = [own[0] + "\n" + PLANTED, inside, own[2] + "\n" + PLANTED + "\n" + own[3], own[4], None, "", own[5] + "\n" + own[5], "A shared line of five words\n" + own[4][:40]]
     docs = documents(spark, texts + ["A shared line of five words\nrest"], extra="yes")
-    got = {r["doc_id"]: r for r in substring.deduplicated(docs).collect()}
+    got = {r["doc_id"]: r for r in substring.deduplicated(docs, removed="gone").collect()}
     new = {i: r["text"] for i, r in got.items()}
     assert new[0] == texts[0] and new[3] == own[4] and new[4] is None and new[5] == ""
     assert PLANTED not in new[1] and "It has whole sentences" not in new[1] and " ".join(w[:20]) in new[1] and " ".join(w[20:]) in new[1]
@@ -204,7 +204,7 @@ def test_substring(spark):
     assert new[6] == own[5]
     assert new[8] == "rest"
     for i, r in got.items():
-        for s in r["_removed"]:
+        for s in r["gone"]:
             assert 0 <= s["start"] < s["end"] <= len(texts[i] if i < len(texts) else "A shared line of five words\nrest")
     assert substring.deduplicated(documents(spark, [])).count() == 0
 
@@ -228,6 +228,116 @@ def test_substring_of_short_units(spark):
     assert new[11] == "\n".join(["ha"] * 8)  # the first run of eight words stays whole
 
 
+@pytest.mark.parametrize("some,chunk", [(16, 512), (2, 4)])
+def test_large_groups_of_similar_documents_against_brute_force(spark, monkeypatch, some, chunk):
+    monkeypatch.setattr(simhash, "SOME", some)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "BLOCK", 30)
+    texts = []
+    for i in range(4):  # families with links between members but not to the first
+        w = text(rng(40 + i), 90).split()
+        for k in range(45):
+            v = list(w)
+            r = rng(1000 * i + k)
+            for at in r.sample(range(len(w)), r.randrange(0, 5)):
+                v[at] = f"edit{r.randrange(3)}"
+            texts.append(" ".join(v))
+    texts += [" ".join(f"w{k}" for k in range(n)) for n in (4, 5, 8, 9, 10)]
+    sets = shingle_sets(texts)
+    links = [(i, j) for i, a in enumerate(sets) for j in range(i) if len(a & sets[j]) >= 0.8 * len(a | sets[j])]
+    want = components(len(texts), links)
+    assert len(set(want)) > 12
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_similar_documents_are_told_by_row(spark):
+    base, other = text(rng(61), 80), text(rng(62), 80)
+    rows = [(5, base, "x"), (1, base + " more", "x"), (5, other, "x"), (5, other, "x"), (None, base + " end", "x"), (9, None, "x"), (9, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _gone string")
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in simhash.drop_near_duplicates(docs).collect()))
+    assert kept == sorted([(1, base + " more"), (5, other), (5, other), (9, ""), (9, " ")])
+
+
+def test_set_fingerprints_of_similar_sets():
+    r = np.random.default_rng(3)
+    for n in (16, 20, 40, 400):
+        for _ in range(300):
+            own = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            cut = n // 9  # of n, so many are exchanged: a similarity of 0.8 or a little more
+            a, b = np.sort(own), np.sort(np.concatenate((own[cut:], r.integers(0, 1 << 63, cut, dtype=np.uint64))))
+            one, two = (np.array([simhash.set_print(x)], np.int64).view(np.uint64) for x in (a, b))
+            assert np.bitwise_count(one ^ two).sum() <= simhash.SET_RADIUS
+
+
+def test_a_sentence_that_occurs_once_stays(spark):
+    one, two = "This first sentence stands in both of the two documents.", "That other sentence stands in both of the documents too."
+    docs = documents(spark, [f"{one} Foo bar. {two}", f"Opening part here. {one} Never seen before. {two}"])
+    new = {r["doc_id"]: r["text"] for r in substring.deduplicated(docs).collect()}
+    assert new[0] == f"{one} Foo bar. {two}" and new[1] == "Opening part here. Never seen before. "
+
+
+def units_brute(text):
+    """Normalised text of each unit that may go, with its place, one text at a time."""
+    break_ = re.compile(r"(?:(?<=[。！？])|(?<=[。！？][”’」』）]))(?=[^\s。！？”’」』）])|(?<=[.!?])([^\w\s.!?]{0,4})[ \t]+(?=\S)|(?<=[^\s.!?A-ZÀ-ÖØ-Þ])[ \t]+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
+    every, at = [], 0
+    for line in text.split("\n"):
+        cuts = [(m.start() + len(m[1] or ""), m.end()) for m in break_.finditer(line)]
+        every.append((True, bool(cuts), at, at + len(line)))
+        begin = 0
+        for a, b in [*cuts, (len(line), len(line))] if cuts else []:
+            every.append((False, False, at + begin, at + a))
+            begin = b
+        at += len(line) + 1
+    rows = [(line, several, a, b, text[a:b].lower().split()) for line, several, a, b in every if text[a:b].split()]
+    short = [len(w) < (4 if line else 8) or b - a < 3 for line, _, a, b, w in rows]
+    out = {(a, b, " ".join(w)) for (*_, a, b, w), s in zip(rows, short, strict=True) if not s}
+    fine = [(r, s) for r, s in zip(rows, short, strict=True) if not (r[0] and r[1])]
+    for k, (_, s) in enumerate(fine):
+        for i, j in [(k, j) for j in range(k + 1, len(fine))] + [(i, k) for i in range(k - 1, -1, -1)] if s else []:
+            words = [w for r, _ in fine[i : j + 1] for w in r[4]]
+            inner = words[len(fine[i][0][4]) :] if i < k else words[: len(words) - len(fine[j][0][4])]
+            if len(words) >= 8 and len(inner) < 8:
+                out.add((fine[i][0][2], fine[j][0][3], " ".join(words)))
+    return out
+
+
+def test_units_against_brute_force():
+    r = rng(5)
+    pieces = ["Word", "ein", "Haus.", "“Oh!”", "\n", "\n\n", "\t", " ", "  ", "x", "Ünd", "so?", "NASA", "Mc", "1.", "a.b", "(Foo)", "straße", "\r\n", "…", "-", "Zwei drei vier fünf sechs sieben acht neun zehn elf."]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randrange(0, 60))) for _ in range(300)] + ["", "\n", "a" * 70_000]
+    text, start, end, one, two = (x.tolist() for x in substring.long_units(texts))
+    found = [set() for _ in texts]
+    name = {}
+    for t, a, b, *code in zip(text, start, end, one, two, strict=True):
+        unit = " ".join(texts[t][a:b].lower().split())
+        found[t].add((a, b, unit))
+        assert name.setdefault(tuple(code), unit) == unit  # equal digests have equal text
+    assert len(set(name.values())) == len(name)  # and equal texts equal digests
+    assert found[:-1] == [units_brute(t) for t in texts[:-1]]
+
+
+def substring_brute(texts):
+    """Texts without the units that an earlier text or place has, by comparing all units as strings."""
+    first = {}
+    for i, t in enumerate(texts):
+        for a, b, unit in sorted(units_brute(t or "")):
+            first.setdefault(unit, (i, a, b))
+    out = []
+    for i, t in enumerate(texts):
+        spans = [(a, b) for a, b, unit in units_brute(t or "") if first[unit] != (i, a, b) and not (first[unit][0] == i and a < first[unit][2])]
+        out.append(substring.cut_out(t, substring.removed_spans(t, spans)) if spans else t)
+    return out
+
+
+def test_substring_against_brute_force(spark):
+    r = rng(77)
+    shared = [text(rng(900 + k), r.randrange(3, 30)) for k in range(25)]
+    texts = ["\n".join(" ".join(r.choice(shared) if r.random() < 0.3 else text(r, r.randrange(2, 14)) for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 6))) for _ in range(80)] + [None, "", shared[0]]
+    got = [row["text"] for row in substring.deduplicated(documents(spark, texts, extra="yes")).orderBy("doc_id").collect()]
+    assert got == substring_brute(texts) and sum(a != b for a, b in zip(got, texts, strict=True)) > 30
+
+
 def vector_brute(vectors, ids):
     ok = [i for i, v in enumerate(vectors) if v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     x = {i: np.array(vectors[i], float) / np.linalg.norm(vectors[i]) for i in ok}

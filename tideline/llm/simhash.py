@@ -13,7 +13,9 @@ fingerprints are one component whatever their number; rows that repeat an id get
 takes part with the rows of its fingerprint and never names a component unless alone; an empty table gives an empty
 result; other columns are ignored.
 
-Similar documents are found without fingerprints: by the rarest shingles of each document, and then by the whole sets.
+Similar documents are found the same way by fingerprints of their sets of shingles, of 128 bits: the tables are the
+rarest shingles of each document, so that similar ones share a table for certain; those that meet are compared in bit
+slices within a radius that no similar pair exceeds, and what is left is verified by the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import discard, ship, shuffle_width, written
+from tideline.llm.common import discard, key_filter, looked_up, row_key, ship, shuffle_width, tidy, without, written
 from tideline.llm.components import components, forest
 from tideline.llm.tokens import in_slices, release, trim
 
@@ -350,10 +352,18 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
 
 # -- similar documents -----------------------------------------------------------------------------------------------
 
+#: Similar sets are told by fingerprints of two words: a pair of the least similarity differs in some 20 of 128 bits
+#: (24 at most, with a spread below 4.5), so none is beyond this radius but by a chance of less than a thousand millionth.
+#: Sets of fewer shingles than FEW may differ more, and are compared whatever their fingerprints.
+SET_RADIUS = 52
+FEW = 16
+#: Rows of a key up to which all pairs are compared at once, and rows that share a pivot beyond.
+SOME = 16
+CHUNK = 512
 #: Documents whose shingles are counted to learn which are common, and common shingles told to all tasks. Both only
 #: order a document's shingles: any order that is the same for all documents finds the same pairs.
 ORDER_DOCS = 20_000
-ORDER_WORDS = 1 << 18
+ORDER_WORDS = 1 << 19
 
 
 def _set(text: str | None, shingle: int) -> np.ndarray:
@@ -365,6 +375,14 @@ def least_overlap(n: int, similarity: float) -> int:
     return max(1, int(np.ceil(n * similarity - 1e-9)))
 
 
+def set_print(h: np.ndarray) -> tuple[int, int]:
+    """The fingerprint of a set of hashes: two words, of the hashes and of what they mix to."""
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    both = np.concatenate([2 * _counts(x) > len(h) for x in (h, mixed ^ (mixed >> np.uint64(32)))])
+    one, two = np.packbits(both).view(">i8")
+    return int(one), int(two)
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, of shingles that several of some documents have, and in how many."""
     rate = ORDER_DOCS / max(ORDER_DOCS, docs.count())
@@ -375,18 +393,23 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.record_batch([pa.array(_set(t, shingle).view(np.int64))], names=["h"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_003)) < F.lit(rate * 1_000_003))
-    counts = some.select(F.col("text").cast("string")).mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    counts = some.select(F.col("text").cast("string")).mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     found = counts.orderBy(F.desc("n"), "h").limit(ORDER_WORDS).toArrow()
     h, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order].astype(np.int32)
+
+
+def _text_row(docs: DataFrame) -> DataFrame:
+    """node (the row's key), id and text of the rows with words."""
+    return docs.where("text is not null and text rlike '[^ \\t-\\r]'").select(row_key(F.col("doc_id"), F.col("text")).alias("node"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
 
 
 def prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """key, node, size and pos of the rarest shingles of each document, so many that documents of the similarity share one.
+    """key, node, size, one and two (the fingerprint): the rarest shingles of each document, so many that similar ones share one.
 
     Of n shingles, similar sets share least_overlap(n) at least; so in one order of all shingles, the first
-    n - least_overlap(n) + 1 of both have one in common.
+    n - least_overlap(n) + 1 of both have one in common. These are the tables that fingerprints are filed in.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -397,48 +420,180 @@ def prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
         hashes, counts = known.value
         for batch in batches:
             trim()
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            nodes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for lo, hi in in_slices(texts):
-                keys, sizes = [], []
+                keys, sizes, prints = [], [], []
                 for t in texts.slice(lo, hi - lo).to_pylist():
                     h = _set(t, shingle)
+                    prints.append(set_print(h))
                     if len(hashes):
                         place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                         h = h[np.argsort(np.where(hashes[place] == h, counts[place], 0), kind="stable")]
                     keys.append(h[: len(h) - least_overlap(len(h), similarity) + 1].view(np.int64))
                     sizes.append(len(h))
                 n = np.array([len(k) for k in keys])
-                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids[lo:hi], n)), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "node", "size", "pos"])
+                own = np.array(prints, np.int64).reshape(-1, 2)
+                columns = [np.concatenate(keys), np.repeat(nodes[lo:hi], n), np.repeat(np.array(sizes, np.int32), n), np.repeat(own[:, 0], n), np.repeat(own[:, 1], n)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "size", "one", "two"])
+
+    return _text_row(docs).select("node", "text").mapInArrow(run, "key bigint, node bigint, size int, one bigint, two bigint")
+
+
+def _prints(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.stack((one, two), axis=1).view(np.uint64)
+
+
+def _may_be_similar(size: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and j may be of the similarity, by their sizes and fingerprints."""
+    if not len(i):
+        return np.zeros(0, bool)
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    near = small >= similarity * large - 1e-9
+    wide = np.flatnonzero(near & (small >= FEW))
+    near[wide] = side_by_side(fp[i[wide]], fp[j[wide]], SET_RADIUS)
+    return near
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "key bigint, node bigint, size int, pos int")
 
+def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distinct pairs of different nodes, the greater first."""
+    a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+    both = np.stack((a, b), axis=1)[a != b]
+    return np.unique(both, axis=0) if len(both) else both
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of prefixes whose key another row has too, with pivot, the least node of the key."""
+
+_MET = "a bigint, b bigint, key bigint, size int, one bigint, two bigint"
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) among the rows of each key, and the rows (key, a, size, one, two) of keys with more than SOME.
+
+    Of the latter, rows are only paired with the pivot of their chunk, and pivots with the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, again, pivot = None, False, 0  # the last row waits for the next key
+        def done(now: list[np.ndarray], head: list[np.ndarray] | None) -> pa.RecordBatch:
+            """Pairs and rows of keys; head is the first row of a key that goes on, where its first rows are done."""
+            key = now[0]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(key)))
+            size_of, place = np.repeat(count, count), np.arange(len(key)) - np.repeat(first, count)
+            goes_on = head is not None and head[0][0] == key[0]
+            many = size_of > SOME
+            if goes_on:
+                many |= key == key[0]
+            few = np.flatnonzero(~many)
+            left, right = [], []
+            for shift in range(1, SOME):
+                i = few[place[few] + shift < size_of[few]]
+                left.append(i)
+                right.append(i + shift)
+            rows = np.flatnonzero(many)
+            start = rows - place[rows]
+            pivot = start + place[rows] // CHUNK * CHUNK
+            member, lead = rows != pivot, (rows == pivot) & (rows != start)
+            left += [rows[member], rows[lead]]
+            right += [pivot[member], start[lead]]
+            if goes_on:
+                now = [np.concatenate((x, h)) for x, h in zip(now, head, strict=True)]
+                left.append(np.zeros(1, np.int64))
+                right.append(np.full(1, len(key)))
+            _, node, size, one, two = now
+            i, j = np.concatenate(left), np.concatenate(right)
+            ok = _may_be_similar(size, _prints(one, two), i, j, similarity)
+            return _met_batch(_pairs(node, i[ok], j[ok]), [x[rows] for x in now])
+
+        held: list[np.ndarray] | None = None
+        head: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if held is not None:
                 now = [np.concatenate((h, x)) for h, x in zip(held, now, strict=True)]
-            key, first_node = now[0], now[1].copy()
-            before = np.concatenate(([False], key[1:] == key[:-1]))
-            if held is not None:
-                first_node[0] = pivot
-            least = first_node[np.maximum.accumulate(np.where(before, 0, np.arange(len(key))))]
-            before[0] = again
-            keep = np.flatnonzero(before[:-1] | (key[1:] == key[:-1]))
-            yield pa.record_batch([pa.array(x[keep]) for x in (*now, least)], names=["key", "node", "size", "pos", "pivot"])
-            held, again, pivot = [x[-1:] for x in now], bool(before[-1]), int(least[-1])
-        if again:
-            yield pa.record_batch([*(pa.array(x) for x in held), pa.array([pivot], pa.int64())], names=["key", "node", "size", "pos", "pivot"])
+            change = np.flatnonzero(now[0][1:] != now[0][:-1])
+            whole = int(change[-1]) + 1 if len(change) else 0
+            if whole:  # the last key waits for its rest
+                yield done([x[:whole] for x in now], head)
+                head, now = None, [x[whole:] for x in now]
+            if len(now[0]) > 32 * CHUNK:  # but one with very many rows is dealt with in turn
+                yield done(now, head)
+                head = head if head is not None and head[0][0] == now[0][0] else [x[:1] for x in now]
+                now = None
+            held = now
+        if held is not None:
+            yield done(held, head)
 
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "key bigint, node bigint, size int, pos int, pivot bigint")
+    return dealt.mapInArrow(run, _MET)
+
+
+def _met_batch(pairs: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
+    key, node, size, one, two = rows
+    n, m = len(pairs), len(node)
+    pair = np.arange(n + m) < n
+
+    def of_rows(x: np.ndarray) -> pa.Array:
+        return pa.array(np.concatenate((np.zeros(n, x.dtype), x)), mask=pair)
+
+    a, b = np.concatenate((pairs[:, 0], node)), np.concatenate((pairs[:, 1], np.zeros(m, np.int64)))
+    return pa.record_batch([pa.array(a), pa.array(b, mask=~pair), of_rows(key), of_rows(size.astype(np.int32)), of_rows(one), of_rows(two)], names=["a", "b", "key", "size", "one", "two"])
+
+
+def _apart(rows: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of rows (key, a, size, one, two) that share a key but no component yet.
+
+    Keys whose rows are all of one component are done. Others are dealt into tiles, and each pair of tiles is a block.
+    """
+    spark = rows.sparkSession
+    placed = rows.join(near, F.col("a") == F.col("node"), "left").select("key", "a", "size", "one", "two", F.coalesce("component", "a").alias("component"))
+    placed, _ = written(placed, "similar-placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("m"), F.count("*").alias("n")).where("l < m").select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("tiles"))
+    dealt = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("a", F.lit(7)), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
+    dealt = dealt.select("key", lo.alias("lo"), hi.alias("hi"), side.alias("side"), F.col("a").alias("node"), "size", "one", "two", "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, low, high, side, node, size, one, two, component = now
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            first = np.flatnonzero(new)
+            fp = _prints(one, two)
+            for at, to in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                left = np.arange(at, to)[side[at:to] != 1]
+                right = np.arange(at, to)[side[at:to] != 0]
+                few = size[at:to].min() < FEW
+                for k in range(0, len(left), 256):
+                    some = left[k : k + 256]
+                    if few:
+                        i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+                    else:
+                        q, r = within(fp[some], fp[right], SET_RADIUS)
+                        i, j = some[q], right[r]
+                    other = component[i] != component[j]
+                    i, j = i[other], j[other]
+                    ok = _may_be_similar(size, fp, i, j, similarity)
+                    pairs = _pairs(node, i[ok], j[ok])
+                    yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            if held is not None:
+                now = [np.concatenate((h, x)) for h, x in zip(held, now, strict=True)]
+            change = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]))
+            whole = int(change[-1]) + 1 if len(change) else 0
+            if whole:
+                yield from done([x[:whole] for x in now])
+            held = [x[whole:] for x in now]
+        if held is not None:
+            yield from done(held)
+
+    dealt = dealt.repartition(shuffle_width(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -447,17 +602,20 @@ def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose whole shingle sets have the similarity."""
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Those of the pairs (a, b) of rows whose whole shingle sets have the similarity, and node and id of all rows in pairs.
+
+    Both are written. Of the texts, those that a filter of the named rows turns away are neither taken apart nor shuffled.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             trim()
-            texts = batch.column(1)
+            texts = batch.column(2)
             for lo, hi in in_slices(texts):
                 raw = [_set(t, shingle).tobytes() for t in texts.slice(lo, hi - lo).to_pylist()]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["node", "hashes"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["node", "id", "hashes"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,62 +623,72 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
             ok = [similar_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(own, other, strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    found, _ = written(rows.join(named, "node", "left_semi").mapInArrow(sets, "node bigint, hashes binary"), "similar-sets")
+    named, named_path = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-named", narrow=True)
+    maybe = key_filter(named, "node", named.count())(F.col("node"))
+    rows = _text_row(docs).where(maybe).join(named, "node", "left_semi")
+    found, found_path = written(rows.mapInArrow(sets, "node bigint, id bigint, hashes binary").dropDuplicates(["node"]), "similar-sets")
     a = found.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     b = found.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(test, "a bigint, b bigint")
+    links, _ = written(pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(test, "a bigint, b bigint"), "similar-links", narrow=True)
+    ids, _ = written(found.select("node", "id"), "similar-ids", narrow=True)
+    discard(docs.sparkSession, named_path, found_path)
+    return links, ids
 
 
-def _stars(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """node and component of each document that isn't the least of its component.
+def _stars(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """node and component of each row that isn't the least of its component, and node and id of all of them.
 
-    First each document is tested against one other that shares a shingle of its prefix, then all pairs that share
-    one and are still apart; so a group of many similar documents isn't compared pair by pair.
+    First the pairs of rows that meet in a table of few rows are tested, and rows of larger ones against a pivot; then
+    those that share a large one and are still apart, so that a group of many similar documents isn't compared pair by pair.
     """
     spark = docs.sparkSession
-    shared, shared_path = written(_shared(prefixes(docs, similarity, shingle)), "similar-shared")
-    tested, tested_path = written(shared.where("node <> pivot").groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b")), "similar-pairs", narrow=True)
-    links, _ = written(_verified(docs, tested, similarity, shingle), "similar-links", narrow=True)
-    near, _ = components(links)
-    placed = shared.join(near, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("component"))
-    placed, placed_path = written(placed, "similar-placed")
-    discard(spark, shared_path)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("m")).where("l < m").select("key")
-    own = placed.join(mixed, "key")
-    x = own.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "pos", "component")))
-    y = own.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "pos", "component")))
-    # of a similar pair's shared shingles, the first bounds what they share by what comes after it
-    most = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))
-    enough = most >= (F.col("x_size") + F.col("y_size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
-    pairs = x.join(y, "key").where((F.col("x_component") < F.col("y_component")) & enough)
-    pairs = pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    pairs, _ = written(pairs, "similar-pairs")
-    discard(spark, placed_path, tested_path)
-    more, _ = written(_verified(docs, pairs, similarity, shingle), "similar-links", narrow=True)
-    return components(links.unionByName(more))[0]
-
-
-def _filled(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null and doc_id is not null and text rlike '[^ \\t-\\r]'")
+    met, met_path = written(_met(prefixes(docs, similarity, shingle), similarity), "similar-met")
+    pairs, pairs_path = written(met.where("b is not null").select("a", "b").distinct(), "similar-pairs", narrow=True)
+    links, ids = _verified(docs, pairs, similarity, shingle)
+    near, near_path = components(links)
+    rows = met.where("b is null")
+    if rows.isEmpty():
+        discard(spark, met_path, pairs_path)
+        return near, ids
+    more = _apart(rows.select("key", "a", "size", "one", "two"), near, similarity).distinct().join(pairs, ["a", "b"], "left_anti")
+    more, more_path = written(more, "similar-more", narrow=True)
+    discard(spark, met_path)
+    if more.isEmpty():
+        discard(spark, pairs_path, more_path)
+        return near, ids
+    links_too, ids_too = _verified(docs, more, similarity, shingle)
+    near, _ = components(links.unionByName(links_too))
+    discard(spark, pairs_path, more_path, near_path)
+    return near, ids.unionByName(ids_too).distinct()
+
+
+def _members(near: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, id, component and best (the row that stays: least id, null last) of each row in a component of several."""
+    every = near.unionByName(near.groupBy("component").agg(F.lit(1).alias("_one")).select(F.col("component").alias("node"), "component"))
+    rows, _ = written(every.join(ids, "node").select("node", "id", "component"), "similar-members", narrow=True)
+    best = rows.groupBy("component").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
+    return looked_up(rows, best, ["component"], "_n", rows.count())
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id and component_id of every row with a text, by the Jaccard similarity of their sets of word shingles.
+    """doc_id and component_id (its least doc_id) of every row with words, by the Jaccard similarity of their sets of word shingles.
 
-    All pairs of the similarity are found, and none below it is linked, whatever the number of documents.
+    All pairs of the similarity are found, and none below it is linked, whatever the number of documents. Rows that
+    repeat an id are rows of their own; a null id names a component only if no other id is there.
     """
-    stars = _stars(_filled(docs), similarity, shingle)
-    ids = _filled(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    return ids.join(stars, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    members = _members(*_stars(docs, similarity, shingle)).select("node", F.col("best.id").alias("_least"))
+    rows = _text_row(docs).select("node", F.col("id").alias("doc_id"))
+    return rows.join(members, "node", "left").select("doc_id", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs with one document of each group of near duplicates, the one with the smallest id; all columns kept.
 
-    Rows without words or without an id stay.
+    A document is a row's id and text: of rows that repeat an id with other texts each is judged by its own text, and
+    rows that repeat both stay or go together. Rows without words stay. Only rows that a filter of the dropped ones
+    doesn't clear are shuffled.
     """
-    gone = _stars(_filled(docs), similarity, shingle).select(F.col("node").alias("_gone")).distinct()
-    gone, _ = written(gone, "similar-gone", narrow=True)
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    tidy(docs.sparkSession)
+    gone = _members(*_stars(docs, similarity, shingle)).where("node <> best.node").select("node")
+    gone, _ = written(gone.distinct(), "similar-gone", narrow=True)
+    return without(docs, row_key(F.col("doc_id"), F.col("text")), gone, "node")
