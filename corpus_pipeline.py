@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import exact, packing, simhash, substring, toxicity
-from tideline.llm.common import discard, table, tokenizer_path, written
+from tideline.llm.common import discard, fresh, table, tokenizer_path, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines and sentences that an earlier document has; n_chars follows the text."""
-    out = substring.deduplicated(docs)
+    removed = fresh(docs, "_removed")[0]
+    out = substring.deduplicated(docs, removed=removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
