@@ -1,13 +1,14 @@
 """Clip planning, formats, the manifest, reports, the command line, views and streaming."""
 
 import csv
+import time
 
 import pytest
 
 from pyspark.sql import functions as F
 
 from tideline.functions import text as fmt
-from tideline.operators import clips
+from tideline.operators import clips, cutting
 from tideline.params import Windows
 from tideline.plans import cli, manifest, report
 from tideline.plans.analysis import analyze
@@ -79,6 +80,21 @@ def test_manifest(spark, tmp_path):
     assert command[:2] == ["ffmpeg", "-y"] and "copy" in command
 
 
+def test_cut_statuses(tmp_path):
+    def program(name, body):
+        f = tmp_path / name
+        f.write_text(f"#!/bin/sh\n{body}\n")
+        f.chmod(0o755)
+        return str(f)
+
+    good, bad = program("good", "exit 0"), program("bad", "echo no >&2; exit 3")
+    silent = program("silent", 'echo \'{"format": {"duration": "2"}, "streams": [{"codec_type": "video"}]}\'')
+    assert cutting.cut([bad, "x"], silent) == ("failed", None, None, None, "no")
+    assert cutting.cut(["/no/such/cutter", "x"], silent)[0] == "failed"
+    assert cutting.cut([good, "x"], silent) == ("invalid", 2.0, True, False, None)
+    assert cutting.cut([good, "x"], bad)[0].startswith("probe-failed: ")
+
+
 def messages(spark):
     rows = [("s", f"u{i % 7}", i * 1000, "hi there") for i in range(0, 400, 4)] + [("s", f"w{i}", (200 + i % 6) * 1000, "wow") for i in range(60)]
     return spark.createDataFrame(rows, "stream_id string, uid string, ts_ms bigint, text string")
@@ -104,12 +120,27 @@ def test_analysis_report_and_views(spark):
 def test_command_line(spark, tmp_path, capsys):
     body = "".join(f'<d uid="{r["uid"]}" timestamp="{r["ts_ms"]}">{r["text"]}</d>' for r in messages(spark).collect())
     (tmp_path / "a.xml").write_text(f"<i><metadata><platform>P</platform><user_name>u</user_name></metadata>{body}</i>")
-    (tmp_path / "1970-01-01-00-00-00-000-a.mp4").write_text("")
-    (tmp_path / "a.mp4").write_text("")
+    (tmp_path / "1970-01-01-00-00-00-000-a.mp4").write_text("video")
+    (tmp_path / "a.mp4").write_text("video")
     assert cli.main(["report", str(tmp_path / "a.xml")], spark) == 0
     assert "1 Density" in capsys.readouterr().out
-    assert cli.main(["clips", str(tmp_path), "--out", str(tmp_path / "out"), "--anchor-ms", "0"], spark) == 0
-    assert (tmp_path / "out" / "manifest.csv").exists()
+    (tmp_path / "lost.xml").write_text("<i><metadata><platform>P</platform></metadata><d uid='u' timestamp='1'>x</d></i>")
+    out = tmp_path / "out"
+    clip = ["clips", str(tmp_path), "--out", str(out), "--anchor-ms", str(int(time.time() * 1000))]  # the recording begins when its file is made
+    assert cli.main([*clip, "--dry-run"], spark) == 0
+    said = capsys.readouterr()
+    assert "lost.xml: no platform or streamer" in said.err and said.out.startswith("ffmpeg -y")
+    assert [r["status"] for r in csv.DictReader((out / "manifest.csv").open(encoding="utf-8-sig"))] == ["dry-run"]
+    # programs that stand in for the cutter and the probe
+    cutter, prober = tmp_path / "cutter.sh", tmp_path / "prober.sh"
+    cutter.write_text('#!/bin/sh\nfor last; do :; done\necho made > "$last"\n')
+    prober.write_text('#!/bin/sh\necho \'{"format": {"duration": "7.5"}, "streams": [{"codec_type": "video"}, {"codec_type": "audio"}]}\'\n')
+    for f in (cutter, prober):
+        f.chmod(0o755)
+    assert cli.main([*clip, "--ffmpeg", str(cutter), "--ffprobe", str(prober)], spark) == 0
+    (row,) = csv.DictReader((out / "manifest.csv").open(encoding="utf-8-sig"))
+    assert (row["status"], row["actual_duration_s"], row["has_video"], row["has_audio"]) == ("ok", "7.5", "true", "true")
+    assert (out / row["output"]).read_text() == "made\n"
     assert cli.main(["report", str(tmp_path / "none.xml")], spark) == 1
     with pytest.raises(SystemExit):
         cli.main(["report", "--help"], spark)

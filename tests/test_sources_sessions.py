@@ -2,7 +2,7 @@
 
 import pytest
 
-from tideline.operators import prepare, sessions
+from tideline.operators import prepare, selection, sessions
 from tideline.sources import chat_xml, media
 
 HEAD = "<metadata><platform>P</platform><user_name>s</user_name><room_id>1</room_id><live_start_time>1786000000000</live_start_time></metadata>"
@@ -109,6 +109,27 @@ def test_pairing(spark):
     assert by["c.xml"] == (None, "ambiguous") and by[f"{t[:-1]}3-y.xml"] == (None, "missing")
 
 
+def test_heads_and_probes(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<i><metadata><platform>P</platform><empty/></metadata>" + "<d uid='u' timestamp='1'>x</d>" * 9000 + "broken")
+    (tmp_path / "b.xml").write_text(" " * 70_000 + "<metadata><platform>late</platform></metadata>")
+    rows = {r["path"].split("/")[-1]: r["metadata"] for r in chat_xml.heads(chat_xml.listed(spark, str(tmp_path))).collect()}
+    assert rows == {"a.xml": {"platform": "P", "empty": None}, "b.xml": {}}
+    (r,) = media.probed(media.listed(spark, str(tmp_path)).where("path like '%b.xml'"), "/no/such/probe").collect()
+    assert r["duration_s"] is None and "probe" in r["problem"]
+
+
+def test_choices(spark):
+    rows = [("a", 0, HOUR, "p", "u", "t"), ("b", HOUR, 2 * HOUR, "p", "u", "t"), ("c", 9 * HOUR, 10 * HOUR, "p", "u", "t"), ("d", 0, HOUR, "p", "a", "t"), ("e", 0, HOUR, "o", "u", "t")]
+    found = sessions.sessions(chunk(spark, rows))
+    assert [r["platform"] for r in selection.platforms(found).collect()] == ["o", "p"]
+    assert [r["user_name"] for r in selection.streamers(found, "p").collect()] == ["a", "u"]
+    assert [(r["start_ms"], r["n_chunks"]) for r in selection.sessions_of(found, "p", "u").collect()] == [(0, 2), (9 * HOUR, 1)]
+    assert [(r["chunk"], r["path"]) for r in selection.chunks_of(found, "p", "u", 0).collect()] == [(0, "a"), (1, "b")]
+    assert {(r["platform"], r["user_name"]): (r["n_sessions"], r["n_chunks"]) for r in selection.choices(found).collect()} == {("p", "u"): (2, 3), ("p", "a"): (1, 1), ("o", "u"): (1, 1)}
+    times = spark.createDataFrame([("s", "u", 1000 + t * 1000, "x") for t in (0, 100, 300, 400)] + [("z", "u", 5, "x")], "stream_id string, uid string, ts_ms bigint, text string")
+    assert {r["stream_id"]: r["n"] for r in selection.preview_counts(times, 60, 360).collect()} == {"s": 2, "z": 0}
+
+
 def test_probe_result():
     assert media.probe_result('{"format": {"duration": "3.5"}, "streams": [{"codec_type": "video"}]}') == (3.5, True, False)
     for bad in ("x", "{}"):

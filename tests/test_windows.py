@@ -168,3 +168,27 @@ def test_streams_apart_and_together(spark):
     for s, rows in (("1", one), ("2", two)):
         rel1, _, grid1 = prepared(spark, rows, stream=s)
         assert {k[1]: v for k, v in both.items() if k[0] == s} == series(windows.density(rel1, grid1), "d")
+
+
+def test_blocks_change_nothing(spark):
+    r = random.Random(3)
+    density = spark.createDataFrame([(s, t, r.randrange(9) if t >= 10 else None) for s in "ab" for t in range(60)], "stream_id string, tick bigint, d bigint")
+    whole = {(x["stream_id"], x["tick"]): (x["s"], x["s_rel"]) for x in windows.burst(density).collect()}
+    for block in (1, 2, 3, 7):
+        assert {(x["stream_id"], x["tick"]): (x["s"], x["s_rel"]) for x in windows.burst(density, block).collect()} == whole
+    changes = spark.createDataFrame([(s, t, r.randrange(-3, 4)) for s in "ab" for t in range(0, 60, 3)], "stream_id string, tick bigint, x bigint")
+    grid = density.select("stream_id", "tick")
+    sums = [sorted(map(tuple, windows.accumulated(changes, grid, "x", block=b).collect())) for b in (5, 1000)]
+    assert sums[0] == sums[1] and len(sums[0]) == 120
+
+
+def test_overlap_of_random_streams(spark):
+    r = random.Random(4)
+    rows = [(s, f"u{r.randrange(6)}", r.randrange(0, 90)) for s in "ab" for _ in range(60)] + [("a", "u9", 89), ("b", "u9", 89)]
+    rel = spark.createDataFrame(rows, "stream_id string, uid string, sec bigint")
+    grid = spark.createDataFrame([(s, t) for s in "ab" for t in range(91)], "stream_id string, tick bigint")
+    got = {(x["stream_id"], x["tick"]): (x["n_both"], x["n_any"]) for x in windows.overlap(rel, grid, Windows(overlap_window=7)).collect()}
+    for s in "ab":
+        for t in range(91):
+            now, before = ({u for x, u, at in rows if x == s and lo <= at < hi} for lo, hi in ((t - 7, t), (t - 14, t - 7)))
+            assert got[s, t] == ((len(now & before), len(now | before)) if t >= 14 and now | before else (None, None))

@@ -73,11 +73,11 @@ def output_name() -> Column:
     return F.concat(F.format_string("clip_%03d_", F.col("cand_id")), "level", F.lit("_"), "shape", F.lit("_"), at[0], F.lit("-"), at[1], part, F.lit(".mp4"))
 
 
-def cut_command(ffmpeg: str = "ffmpeg", fast: bool = False) -> Column:
-    """The argument list that cuts a segment, re-encoded or (fast) copied."""
+def cut_command(ffmpeg: str = "ffmpeg", fast: bool = False, folder: str | None = None) -> Column:
+    """The argument list that cuts a segment, re-encoded or (fast) copied; the last one is the file made, in the folder if given."""
     codec = ["-c", "copy"] if fast else ["-c:v", "libx264", "-c:a", "aac"]
     seconds = F.format_string("%.3f", (F.col("local_end_ms") - F.col("local_start_ms")) / 1000)
-    return F.array(*map(F.lit, (ffmpeg, "-y", "-ss")), media_time(F.col("local_start_ms")), F.lit("-i"), F.col("source"), F.lit("-t"), seconds, *map(F.lit, codec), output_name())
+    return F.array(*map(F.lit, (ffmpeg, "-y", "-ss")), media_time(F.col("local_start_ms")), F.lit("-i"), F.col("source"), F.lit("-t"), seconds, *map(F.lit, codec), output_name() if folder is None else F.concat(F.lit(folder.rstrip("/") + "/"), output_name()))
 
 
 def manifest(segments: DataFrame, results: DataFrame | None = None) -> DataFrame:
@@ -88,7 +88,8 @@ def manifest(segments: DataFrame, results: DataFrame | None = None) -> DataFrame
     outcome = MANIFEST[15:]
     rows = segments
     if results is not None:
-        rows = rows.join(results, ["stream_id", "cand_id", "segment_index"], "left")
+        keys = ["stream_id", "cand_id", "segment_index"]
+        rows = rows.join(results.select(*keys, *[c for c in results.columns if c in outcome and c not in rows.columns]), keys, "left")
     one = [F.format_string("%.1f", F.col(c).cast("double")).alias(c) for c in ("t_start", "t_end", "peak_t")]
     graded = F.col("grade") if "grade" in rows.columns else F.col("level")
     return rows.select(

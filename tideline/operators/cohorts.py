@@ -46,17 +46,21 @@ def lifecycle(rel: DataFrame, bounds: DataFrame, intervals: DataFrame, tick_ms:
 def returning(rel: DataFrame, bounds: DataFrame, intervals: DataFrame, tick_ms: int = 1000) -> DataFrame:
     """Per interval: users that spoke before a gap ahead of it and not within the gap, and their share.
 
-    A message lies in the gap if its time is in [t_start - off(1200), t_start - off(120)). All messages of an
-    interval's users are read once, in one grouped pass.
+    A message lies in the gap if its time is in [t_start - off(1200), t_start - off(120)). Whether a user spoke before
+    is told by the first message; who spoke within, by a join of equal ticks, as for the interval itself.
     """
-    users = interval_users(rel, intervals, tick_ms).join(bounds.select("stream_id", "dur_ms"), "stream_id")
     far, near = (4 * F.col("t_start") * tick_ms - offset4(s, tick_ms, F.col("dur_ms")) for s in (1200, 120))
-    times = rel.select("stream_id", "uid", (4 * F.col("rel_ms")).alias("_at")).groupBy("stream_id", "uid", "_at").agg(F.lit(1).alias("_one")).drop("_one")
-    before = users.withColumn("_far", far).withColumn("_near", near).join(times, ["stream_id", "uid"])
-    judged = before.groupBy("stream_id", "cand_id", "uid").agg(F.bool_or(F.col("_at") < F.col("_far")).alias("_before"), F.bool_or((F.col("_at") >= F.col("_far")) & (F.col("_at") < F.col("_near"))).alias("_within"))
-    counted = judged.groupBy("stream_id", "cand_id").agg(F.count_if(F.col("_before") & ~F.col("_within")).alias("returning_count"), F.count("*").alias("total_users"))
-    full = intervals.select("stream_id", "cand_id", "t_start", "t_end").join(bounds.select("stream_id", "dur_ms"), "stream_id").join(counted, ["stream_id", "cand_id"], "left")
+    spans = intervals.select("stream_id", "cand_id", "t_start", "t_end").join(bounds.select("stream_id", "dur_ms"), "stream_id").withColumn("_far", far).withColumn("_near", near)
+    seen = rel.groupBy("stream_id", "uid").agg((4 * F.min("rel_ms")).alias("_first"))
+    users = interval_users(rel, intervals, tick_ms).join(spans.select("stream_id", "cand_id", "_far"), ["stream_id", "cand_id"]).join(seen, ["stream_id", "uid"])
+    ticks = F.sequence(F.floor(F.col("_far") / (4 * tick_ms)), F.floor((F.col("_near") - 1) / (4 * tick_ms)))
+    gap = spans.where("_far < _near").select("stream_id", "cand_id", "_far", "_near", F.explode(ticks).alias("sec"))
+    at = 4 * F.col("rel_ms")
+    within = gap.join(rel.select("stream_id", "sec", "uid", "rel_ms"), ["stream_id", "sec"]).where((at >= F.col("_far")) & (at < F.col("_near"))).select("stream_id", "cand_id", "uid").distinct()
+    judged = users.join(within.withColumn("_within", F.lit(True)), ["stream_id", "cand_id", "uid"], "left")
+    counted = judged.groupBy("stream_id", "cand_id").agg(F.count_if((F.col("_first") < F.col("_far")) & F.col("_within").isNull()).alias("returning_count"), F.count("*").alias("total_users"))
+    full = spans.join(counted, ["stream_id", "cand_id"], "left")
     return full.select(
         "stream_id", "cand_id", "t_start", "t_end", F.coalesce("returning_count", F.lit(0)).alias("returning_count"), F.coalesce("total_users", F.lit(0)).alias("total_users"),
-        (F.col("returning_count") / F.when(F.col("total_users") > 0, F.col("total_users"))).alias("ratio"), (far / (4 * tick_ms)).alias("gap_start"), (near / (4 * tick_ms)).alias("gap_end"),
+        (F.col("returning_count") / F.when(F.col("total_users") > 0, F.col("total_users"))).alias("ratio"), (F.col("_far") / (4 * tick_ms)).alias("gap_start"), (F.col("_near") / (4 * tick_ms)).alias("gap_end"),
     )

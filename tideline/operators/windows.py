@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.prepare import GRID_BLOCK
 from tideline.params import DetectionParams, Windows
 
 
@@ -41,15 +42,19 @@ def density(rel: DataFrame, grid: DataFrame, w: Windows = Windows()) -> DataFram
     return counts(rel, grid, w).select("stream_id", "tick", "d")
 
 
-def burst(density: DataFrame) -> DataFrame:
-    """Rate of change of the density smoothed over three ticks, and its ratio to the tick before."""
-    by = Window.partitionBy("stream_id").orderBy("tick")
+def burst(density: DataFrame, block: int = GRID_BLOCK) -> DataFrame:
+    """Rate of change of the density smoothed over three ticks, and its ratio to the tick before.
+
+    Windows run over blocks of ticks that repeat what their first and last ticks see of the neighbours, so that a
+    long stream is dealt out.
+    """
+    homes = [F.floor((F.col("tick") + shift) / block) for shift in (0, 2, -1)]
+    rows = density.withColumn("_block", F.explode(F.array_distinct(F.array(*homes))))
+    by = Window.partitionBy("stream_id", "_block").orderBy("tick")
     three = by.rowsBetween(-1, 1)
     smooth = F.sum("d").over(three) / F.count("d").over(three)
-    out = density.withColumn("_smooth", smooth).withColumn("_before", F.lag("d").over(by))
-    return out.select(
-        "stream_id", "tick", "d", (F.col("_smooth") - F.lag("_smooth").over(by)).alias("s"), (F.col("d") / F.greatest(F.coalesce("_before", F.lit(1)), F.lit(1))).alias("s_rel")
-    )
+    out = rows.withColumn("_smooth", smooth).withColumn("_before", F.lag("d").over(by)).withColumn("s", F.col("_smooth") - F.lag("_smooth").over(by))
+    return out.where(F.col("_block") == homes[0]).select("stream_id", "tick", "d", "s", (F.col("d") / F.greatest(F.coalesce("_before", F.lit(1)), F.lit(1))).alias("s_rel"))
 
 
 def length_mix(counts: DataFrame) -> DataFrame:
@@ -107,16 +112,52 @@ def audience(rel: DataFrame, bounds: DataFrame, grid: DataFrame, w: Windows = Wi
     )
 
 
+def presence(rel: DataFrame, reach: int) -> DataFrame:
+    """stream_id, uid, a and b of each run of a user's seconds no more than reach apart, and before, the end of the run before."""
+    seconds = rel.where("sec >= 0").select("stream_id", "uid", "sec").distinct()
+    by = Window.partitionBy("stream_id", "uid").orderBy("sec")
+    opens = F.when(F.col("sec") - F.lag("sec").over(by) <= reach, 0).otherwise(1)
+    numbered = seconds.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("stream_id", "uid", "_run").agg(F.min("sec").alias("a"), F.max("sec").alias("b"))
+    return runs.select("stream_id", "uid", "a", "b", F.lag("b").over(Window.partitionBy("stream_id", "uid").orderBy("_run")).alias("before"))
+
+
+def accumulated(changes: DataFrame, grid: DataFrame, *columns: str, block: int = GRID_BLOCK) -> DataFrame:
+    """Running sums over the grid of changes by (stream_id, tick). Sums run within blocks, on what the blocks before add up to."""
+    rows = grid.join(changes, ["stream_id", "tick"], "left").select("stream_id", "tick", F.floor(F.col("tick") / block).alias("_block"), *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+    earlier = Window.partitionBy("stream_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    carried = rows.groupBy("stream_id", "_block").agg(*[F.sum(c).alias(c) for c in columns]).select("stream_id", "_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    within = Window.partitionBy("stream_id", "_block").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(carried, ["stream_id", "_block"]).select("stream_id", "tick", *[(F.sum(c).over(within) + F.col(f"_{c}")).alias(c) for c in columns])
+
+
 def overlap(rel: DataFrame, grid: DataFrame, w: Windows = Windows()) -> DataFrame:
-    """Jaccard similarity of the users of [t - V, t) and [t - 2V, t - V); null for the first 2V ticks and without any user."""
+    """Jaccard similarity of the users of [t - V, t) and [t - 2V, t - V); null for the first 2V ticks and without any user.
+
+    A run of a user's seconds is seen now from its start to V past its end, before V later, and both where these meet,
+    or where the run before is still seen. Each run is a few changes of the counts, whatever its length.
+    """
     v = w.overlap_window
-    users = rel.where("sec >= 0").select("stream_id", "sec", "uid").distinct()
-    # one row for each tick that sees the second, now (the nearer V) or before
-    seen = users.withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(2 * v)))).select("stream_id", (F.col("sec") + F.col("_ahead")).alias("tick"), "uid", (F.col("_ahead") <= v).alias("now"))
-    both = seen.groupBy("stream_id", "tick", "uid").agg(F.bool_or("now").alias("now"), F.bool_or(~F.col("now")).alias("before"))
-    per_tick = both.groupBy("stream_id", "tick").agg(F.count_if(F.col("now") & F.col("before")).alias("n_both"), F.count("*").alias("n_any"))
-    out = grid.join(per_tick, ["stream_id", "tick"], "left")
-    return out.select("stream_id", "tick", *[defined_from(F.col("tick"), 2 * v, F.col(c)).alias(c) for c in ("n_both", "n_any")], defined_from(F.col("tick"), 2 * v, F.col("n_both") / F.col("n_any")).alias("overlap"))
+    a, b, before = F.col("a"), F.col("b"), F.col("before")
+
+    def seen(first: Column, last: Column, n_any: int, n_both: int) -> list[Column]:
+        """The counts change where an interval begins and after it ends; an empty one changes nothing."""
+        some = last >= first
+        return [
+            F.struct(F.when(some, tick).alias("tick"), F.lit(sign * n_any).cast("bigint").alias("n_any"), F.lit(sign * n_both).cast("bigint").alias("n_both"))
+            for tick, sign in ((first, 1), (last + 1, -1))
+        ]
+
+    changes = [
+        *seen(a + 1, b + v, 1, 0),
+        *seen(a + v + 1, b + 2 * v, 1, 0),
+        *seen(a + v + 1, b + v, -1, 1),
+        *seen(a + 1, F.when(before.isNotNull(), F.least(b + v, before + 2 * v)), -1, 1),
+    ]
+    rows = presence(rel, v).select("stream_id", F.inline(F.array(*changes))).where("tick is not null")
+    counts = accumulated(rows.groupBy("stream_id", "tick").agg(F.sum("n_any").alias("n_any"), F.sum("n_both").alias("n_both")), grid, "n_any", "n_both")
+    known = (F.col("tick") >= 2 * v) & (F.col("n_any") > 0)
+    return counts.select("stream_id", "tick", *[F.when(known, F.col(c)).alias(c) for c in ("n_both", "n_any")], F.when(known, F.col("n_both") / F.col("n_any")).alias("overlap"))
 
 
 def repeat_ratio(rel: DataFrame, grid: DataFrame, w: Windows = Windows(), min_repeats: int = 3) -> DataFrame:

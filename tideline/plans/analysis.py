@@ -82,7 +82,7 @@ class Analysis:
         p = self.detection
         return self._kept(
             detect.candidates(
-                self.density, self.thresholds, p, self.spam if p.spam_filter else None, self.overlap if p.use_merge_overlap else None, self.windows.tick_ms / 1000 if self.windows.tick_ms < 1000 else 1.0
+                self.density, self.thresholds, p, self.spam if p.spam_filter else None, self.overlap if p.use_merge_overlap else None, self.windows.tick_ms / 1000
             )
         )
 

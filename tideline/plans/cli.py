@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.text import recorder_start_ms
-from tideline.operators import clips
+from tideline.operators import clips, cutting
 from tideline.operators import sessions as sessions_op
 from tideline.params import DetectionParams
 from tideline.plans import manifest, report
@@ -22,26 +22,33 @@ from tideline.plans.analysis import Analysis
 from tideline.sources import chat_xml, media
 
 
-def session_messages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages of a folder's sessions, without repeats; the sessions; and each chunk's status."""
+def session_messages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Messages of a folder's sessions, without repeats; the sessions; each chunk's status; chunks of no known streamer."""
     read = chat_xml.contents(chat_xml.files(spark, root)).cache()
     chunks = chat_xml.chunk_table(read, chat_xml.listed(spark, root))
-    known, _ = sessions_op.classified(chunks)
+    known, unknown = sessions_op.classified(chunks)
     found = sessions_op.sessions(known)
-    own = found.select(F.concat_ws("/", "platform", "user_name", "label").alias("stream_id"), F.explode("chunks.path").alias("path"))
+    own = session_paths(found)
     from tideline.operators.prepare import deduplicated
 
     rows = chat_xml.messages(read).drop("stream_id").join(own, "path").select("stream_id", "uid", "ts_ms", "text")
-    return deduplicated(rows), found, read.select("path", "status", "reason")
+    return deduplicated(rows), found, read.select("path", "status", "reason"), unknown.select("path")
 
 
-def _messages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def session_paths(sessions: DataFrame) -> DataFrame:
+    """stream_id and path of each session's chunks."""
+    return sessions.select(F.concat_ws("/", "platform", "user_name", "label").alias("stream_id"), F.explode("chunks.path").alias("path"))
+
+
+def _messages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Messages, status of files, streams (stream_id, path), and files of no known streamer."""
     if os.path.isdir(path):
-        rows, _, status = session_messages(spark, path)
-        return rows, status
+        rows, found, status, unknown = session_messages(spark, path)
+        return rows, status, session_paths(found), [r["path"] for r in unknown.orderBy("path").collect()]
     with open(path, "rb") as f:
         read = chat_xml.contents(chat_xml.uploaded(spark, path, f.read())).cache()
-    return chat_xml.messages(read).select("stream_id", "uid", "ts_ms", "text"), read.select("path", "status", "reason")
+    streams = spark.createDataFrame([(path, f"file:{os.path.abspath(path)}")], "stream_id string, path string")
+    return chat_xml.messages(read).select("stream_id", "uid", "ts_ms", "text"), read.select("path", "status", "reason"), streams, []
 
 
 def parser() -> argparse.ArgumentParser:
@@ -65,14 +72,14 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--anchor-ms", type=int)
             s.add_argument("--fast", action="store_true")
             s.add_argument("--ffmpeg", default="ffmpeg")
+            s.add_argument("--ffprobe", default="ffprobe")
+            s.add_argument("--dry-run", action="store_true", help="print the commands, run and probe nothing")
     return p
 
 
 def video_chunks(spark: SparkSession, path: str, streams: DataFrame) -> DataFrame:
     """Recordings beside the chat files: stream_id, path, start_ms, end_ms. Unnamed starts are the file's own time."""
-    root = path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path))
-    rows = [(f"file:{os.path.join(d, n)}", int(os.stat(os.path.join(d, n)).st_ctime * 1000)) for d, _, names in os.walk(root) for n in names]
-    every = spark.createDataFrame(rows, "path string, changed_ms bigint")
+    every = media.listed(spark, path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path)))
     pairs = media.paired(streams.select("path"), every).where("video is not null")
     name = F.element_at(F.split("video", "/"), -1)
     chunks = streams.join(pairs, "path").join(every.select(F.col("path").alias("video"), "changed_ms"), "video")
@@ -85,10 +92,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"no such file or folder: {args.path}", file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("tideline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    rows, status = _messages(spark, args.path)
+    rows, status, streams, unknown = _messages(spark, args.path)
     bad = status.where("status <> 'ok'").collect()
     for r in bad:
         print(f"{r['status']}: {r['path']}: {r['reason']}", file=sys.stderr)
+    for p in unknown:
+        print(f"unclassified: {p}: no platform or streamer", file=sys.stderr)
     if rows.isEmpty():
         print("no messages", file=sys.stderr)
         return 1
@@ -101,17 +110,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.score:
             a.scored.select("stream_id", "cand_id", "score", "grade").orderBy("stream_id", "cand_id").show(200, truncate=False)
         return 0
-    if os.path.isdir(args.path):
-        _, found, _ = session_messages(spark, args.path)
-        streams = found.select(F.concat_ws("/", "platform", "user_name", "label").alias("stream_id"), F.explode("chunks.path").alias("path"))
-    else:
-        streams = spark.createDataFrame([(args.path, f"file:{os.path.abspath(args.path)}")], "stream_id string, path string")
     anchors = rows.groupBy("stream_id").agg(F.lit(args.anchor_ms).cast("bigint").alias("anchor_ms") if args.anchor_ms is not None else F.min("ts_ms").alias("anchor_ms"))
     plan = clips.plan(a.candidates, anchors, args.pre_roll, args.post_roll, args.max_duration)
     parts = clips.segments(plan, video_chunks(spark, args.path, streams)).withColumn("output", clips.output_name())
-    n = manifest.write(clips.manifest(parts), os.path.join(args.out, "manifest.csv"))
-    for r in parts.orderBy("stream_id", "cand_id", "segment_index").select(F.array_join(clips.cut_command(args.ffmpeg, args.fast), " ").alias("c")).toLocalIterator():
-        print(r["c"])
+    parts = parts.cache()
+    if args.dry_run:
+        for r in parts.orderBy("stream_id", "cand_id", "segment_index").select(F.array_join(clips.cut_command(args.ffmpeg, args.fast, args.out), " ").alias("c")).toLocalIterator():
+            print(r["c"])
+    done = cutting.results(parts, args.out, args.ffmpeg, args.ffprobe, args.fast, args.dry_run).cache()
+    n = manifest.write(clips.manifest(parts, done), os.path.join(args.out, "manifest.csv"))
+    for r in done.where("status not in ('ok', 'dry-run')").orderBy("stream_id", "cand_id", "segment_index").toLocalIterator():
+        print(f"{r['status']}: clip {r['cand_id']} segment {r['segment_index']}{': ' + r['error'] if r['error'] else ''}", file=sys.stderr)
     print(f"{n} segments", file=sys.stderr)
     return 0
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,11 +103,15 @@ def text(a: Analysis) -> str:
     parts = {n: {r["stream_id"]: r for r in f(a).collect()} for n, f in (("o", overview), ("d", density), ("b", burst), ("a", activation), ("l", length_mix), ("c", concentration), ("v", overlap), ("n", levels), ("s", spam_ticks))}
     cuts = {r["stream_id"]: r for r in a.thresholds.collect()}
     rows = {n: f.orderBy("cand_id").collect() for n, f in (("h", a.candidates), ("m", interval_means(a)), ("y", lifecycle_lines(a)), ("r", returning_lines(a)))}
+    of_stream: dict[str, dict[str, list]] = {n: defaultdict(list) for n in rows}
+    for n, x in rows.items():
+        for r in x:
+            of_stream[n][r["stream_id"]].append(r)
     w = a.windows.window
     out = []
     for s in sorted(parts["o"]):
         p = {n: x.get(s) for n, x in parts.items()}
-        own = {n: [r for r in x if r["stream_id"] == s] for n, x in rows.items()}
+        own = {n: of_stream[n][s] for n in rows}
         table = ["# | t_start | t_end | duration | peak_d | level | shape"] + [f"{r['cand_id'] + 1} | {r['t_start']:.1f} | {r['t_end']:.1f} | {r['duration']:.1f} | {r['peak_density']:.0f} | {r['level']} | {r['shape']}" for r in own["h"]]
         out += [f"== Overview: {s} ==", f"messages: {p['o']['n_total']}", f"span: {p['o']['duration_s']:.1f} s ({p['o']['duration_min']:.1f} min)"]
         out += [f"== 1 Density (window {w}) =="] + ([] if p["d"] and p["d"]["has_baseline"] else ["warning: no reliable baseline in a stream this short"])

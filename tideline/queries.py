@@ -1,6 +1,7 @@
 """Queries of the engine's operators on the driver's events table, and the same results as DuckDB SQL.
 
-A tick is a minute: the table spans thirty days. Chunks of recordings are derived from a user's events by the hour.
+A tick is a minute, as the table spans thirty days, but for the queries that end in _seconds, which have the default
+of a second. Chunks of recordings are derived from a user's events by the hour, chat files by the day.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import text as fmt
-from tideline.operators import clips, detect, prepare
-from tideline.operators import sessions as sessions_op
+from tideline.operators import clips, detect, prepare, selection
+from tideline.operators import sessions as _sessions_op
 from tideline.params import DetectionParams, MetricWeights, Windows
 from tideline.plans import report
 from tideline.plans.analysis import Analysis
-from tideline.sources import events
+from tideline.sources import chat_xml, events, media
 
 TICK_MS = 60_000
 W = Windows(tick_ms=TICK_MS)
@@ -127,11 +128,11 @@ def returning(s, d):
 
 
 def signals(s, d):
-    return _r6(_a(s, d).signals, "density", "burst", "activation", "length_mix", "concentration", "overlap")
+    return _r6(_a(s, d, cached=True).signals, "density", "burst", "activation", "length_mix", "concentration", "overlap")
 
 
 def heat(s, d):
-    return _a(s, d).heat
+    return _a(s, d, cached=True).heat
 
 
 def scored(s, d):
@@ -139,7 +140,7 @@ def scored(s, d):
 
 
 def overall(s, d):
-    return _r6(_a(s, d).overall, "overall_score")
+    return _r6(_a(s, d, cached=True).overall, "overall_score")
 
 
 def grade_counts(s, d):
@@ -151,11 +152,11 @@ def best_interval(s, d):
 
 
 def sessions(s, d):
-    return sessions_op.sessions(_chunks(s, d)).drop("chunks")
+    return _sessions_op.sessions(_chunks(s, d)).drop("chunks")
 
 
 def session_chunks(s, d):
-    return sessions_op.clustered(_chunks(s, d)).select("path", "platform", "user_name", "session_no")
+    return _sessions_op.clustered(_chunks(s, d)).select("path", "platform", "user_name", "session_no")
 
 
 def dedup_records(s, d):
@@ -167,6 +168,85 @@ def interval_filter(s, d):
     return prepare.between_relative(events.read(s, d), 86_400, 172_800).select("ts_ms", "uid", "text")
 
 
+def _files(s, d):
+    """Chat files of each user and day as bytes (path, content), some of them damaged: cut off, with control signs, or broken."""
+    e = events.read(s, d).withColumn("day", F.floor(F.col("ts_ms") / 86_400_000))
+    kind = (F.col("uid").cast("bigint") * 31 + F.col("day")) % 13
+    line = F.concat(F.lit('<d p="1" user="u" uid="'), "uid", F.lit('" timestamp="'), F.col("ts_ms").cast("string"), F.lit('">'), "text", F.lit("</d>\n"))
+    rows = e.groupBy("uid", "day").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("body")).withColumn("kind", kind)
+    named = F.when(F.col("uid").cast("bigint") % 10 != 0, F.concat(F.lit("<user_name>"), "uid", F.lit("</user_name>"))).otherwise("")
+    head = F.concat(F.lit("<i><metadata><platform>live</platform>"), named, F.lit("<room_title>day "), F.col("day").cast("string"), F.lit("</room_title></metadata>\n"))
+    damage = F.when(F.col("kind") == 0, "a < b").when(F.col("kind") == 2, '<d uid="\x01x">no time</d>').otherwise('<d uid="x">no time</d>')
+    content = F.concat(head, damage, "body", F.when(F.col("kind") == 1, "").otherwise("</i>"))
+    return rows.select(F.concat(F.lit("chat-"), "uid", F.lit("-"), F.col("day").cast("string"), F.lit(".xml")).alias("path"), content.cast("binary").alias("content"))
+
+
+def xml_messages(s, d):
+    return chat_xml.messages(chat_xml.contents(_files(s, d))).select("path", "uid", "ts_ms", "text")
+
+
+def xml_files(s, d):
+    return chat_xml.contents(_files(s, d)).select("path", "status", "reason", F.size("messages").cast("bigint").alias("n_messages")).withColumn("reason", F.when(F.col("status") != "skipped", F.col("reason")))
+
+
+def xml_metadata(s, d):
+    return chat_xml.contents(_files(s, d)).select("path", *[F.col("metadata").getItem(k).alias(k) for k in ("platform", "user_name", "room_title")])
+
+
+def _file_chunks(s, d):
+    read = chat_xml.contents(_files(s, d))
+    day = F.regexp_extract("path", "-(\\d+)\\.xml$", 1).cast("bigint")
+    return chat_xml.chunk_table(read, read.select("path", (day * 86_400_000).alias("created_ms"), (day * 86_400_000 + 86_000_000).alias("modified_ms")))
+
+
+def unclassified(s, d):
+    return _sessions_op.classified(_file_chunks(s, d))[1].select("path", "platform")
+
+
+def xml_sessions(s, d):
+    return _sessions_op.sessions(_sessions_op.classified(_file_chunks(s, d))[0]).drop("chunks")
+
+
+def paired_videos(s, d):
+    """Chat files of each user and hour beside recordings of the same name, of the same time, of both kinds, or none."""
+    e = events.read(s, d).select("uid", F.floor(F.col("ts_ms") / 3_600_000).alias("h")).distinct().withColumn("k", (F.col("uid").cast("bigint") + F.col("h")) % 5)
+    folder = F.concat(F.lit("/rec/"), "uid", F.lit("/"))
+    at = F.concat(F.date_format(F.timestamp_millis(F.col("h") * 3_600_000), "yyyy-MM-dd-HH-mm-ss"), F.lit("-000"))
+    one = F.concat(folder, at, F.lit("-chat"))
+    names = F.when(F.col("k") == 0, F.array(F.concat(one, F.lit(".flv")))).when(F.col("k") == 1, F.array(F.concat(folder, at, F.lit("-video.MP4"))))
+    names = names.when(F.col("k") == 2, F.array(F.concat(folder, at, F.lit("-a.ts")), F.concat(folder, at, F.lit("-b.mkv")))).when(F.col("k") == 3, F.array(F.concat(one, F.lit(".flv")), F.concat(folder, at, F.lit("-c.flv"))))
+    return media.paired(e.select(F.concat(one, F.lit(".xml")).alias("path")), e.where("k < 4").select(F.explode(names).alias("path")))
+
+
+def choices(s, d):
+    return selection.choices(_sessions_op.sessions(_chunks(s, d)))
+
+
+def interval_preview(s, d):
+    return selection.preview_counts(events.read(s, d, by_day=True), 3_600, 7_200)
+
+
+def _seconds(s, d, **more):
+    """The default grid: ticks of a second, windows of ten."""
+    return Analysis(events.read(s, d), **more)
+
+
+def density_seconds(s, d):
+    return _seconds(s, d).density.where("d > 0")
+
+
+def activation_seconds(s, d):
+    return _seconds(s, d).audience.where("n_users is not null").select("stream_id", "tick", "n_silent", "n_users", "activation")
+
+
+def overlap_seconds(s, d):
+    return _seconds(s, d).overlap.where("n_any is not null")
+
+
+def candidates_seconds(s, d):
+    return _seconds(s, d).candidates
+
+
 def chunk_videos(s, d):
     return _videos(s, d)
 
@@ -221,7 +301,7 @@ def _report(function, names):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         density, density_by_day, burst, length_mix, activation, concentration, overlap, repeat_ratio, spam_mask, user_pool, runs, candidates, candidates_time_only, candidates_by_day, candidates_explicit,
-        lifecycle, returning, signals, heat, scored, overall, grade_counts, best_interval, sessions, session_chunks, dedup_records, interval_filter, chunk_videos, clip_plan, clip_segments, clip_manifest, time_formats,
+        lifecycle, returning, signals, heat, scored, overall, grade_counts, best_interval, sessions, session_chunks, dedup_records, interval_filter, interval_preview, choices, xml_messages, xml_files, xml_metadata, xml_sessions, unclassified, paired_videos, density_seconds, activation_seconds, overlap_seconds, candidates_seconds, chunk_videos, clip_plan, clip_segments, clip_manifest, time_formats,
     )
     return {f.__name__: f for f in own} | {f"thresholds_{m}": _thresholds(m) for m in ("sigma", "robust", "percentile")} | {k: _report(f, n) for k, (f, n) in REPORTS.items()}
 
@@ -229,13 +309,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # -- the same in SQL -------------------------------------------------------------------------------------------------
 
 
-def _base(stream: str = "'all'") -> str:
+def _base(stream: str = "'all'", tick: int = TICK_MS) -> str:
     return f"""
 WITH msg AS (SELECT {stream} AS stream_id, CAST(user_id AS VARCHAR) AS uid, (epoch_us(ts) // 1000) AS ts_ms,
         CASE WHEN value < 50 THEN event_type ELSE event_type || ' ' || props END AS text FROM events),
 bnd AS (SELECT stream_id, min(ts_ms) AS origin, max(ts_ms) - min(ts_ms) AS dur, count(*) AS n_total FROM msg GROUP BY 1),
-m AS (SELECT msg.stream_id, uid, ts_ms, ts_ms - origin AS rel, (ts_ms - origin) // {TICK_MS} AS sec, length(text) AS len, trim(text) AS norm FROM msg JOIN bnd USING (stream_id)),
-grid AS (SELECT stream_id, unnest(range(0, (2 * dur + {3 * TICK_MS - 1}) // {2 * TICK_MS} + 1)) AS tick FROM bnd),
+m AS (SELECT msg.stream_id, uid, ts_ms, ts_ms - origin AS rel, (ts_ms - origin) // {tick} AS sec, length(text) AS len, trim(text) AS norm FROM msg JOIN bnd USING (stream_id)),
+grid AS (SELECT stream_id, unnest(range(0, (2 * dur + {3 * tick - 1}) // {2 * tick} + 1)) AS tick FROM bnd),
 sec AS (SELECT stream_id, sec, count(*) AS n, count(*) FILTER (len <= 5) AS ns, count(*) FILTER (len > 15) AS nl FROM m GROUP BY 1, 2),
 scat AS (SELECT stream_id, unnest(range(sec + 1, sec + 11)) AS tick, n, ns, nl FROM sec),
 cnt AS (SELECT g.stream_id, g.tick, CASE WHEN g.tick >= 10 THEN CAST(coalesce(sum(n), 0) AS BIGINT) END AS d,
@@ -247,13 +327,13 @@ sm AS (SELECT stream_id, tick, d, sum(d) OVER w3 / count(d) OVER w3 AS sm, lag(d
        WINDOW w AS (PARTITION BY stream_id ORDER BY tick), w3 AS (PARTITION BY stream_id ORDER BY tick ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 bur AS (SELECT stream_id, tick, d, sm - lag(sm) OVER (PARTITION BY stream_id ORDER BY tick) AS s, d / greatest(coalesce(d0, 1), 1) AS s_rel FROM sm),
 len AS (SELECT stream_id, tick, ds / nullif(d, 0) AS short_ratio, 1 - ds / nullif(d, 0) - dl / nullif(d, 0) AS mid_ratio, dl / nullif(d, 0) AS long_ratio FROM cnt),
-pool AS (SELECT m.stream_id, uid, count(*) <= 2 AS is_silent FROM m JOIN bnd USING (stream_id) WHERE 4 * rel >= least({300 * TICK_MS * 4}, dur) GROUP BY 1, 2),
+pool AS (SELECT m.stream_id, uid, count(*) <= 2 AS is_silent FROM m JOIN bnd USING (stream_id) WHERE 4 * rel >= least({300 * tick * 4}, dur) GROUP BY 1, 2),
 ut AS (SELECT stream_id, tick, uid, count(*) AS c FROM (SELECT stream_id, uid, unnest(range(sec + 1, sec + 11)) AS tick FROM m) GROUP BY 1, 2, 3),
 utr AS (SELECT ut.*, coalesce(is_silent, false) AS silent, row_number() OVER (PARTITION BY ut.stream_id, tick ORDER BY c DESC, uid) AS r FROM ut LEFT JOIN pool USING (stream_id, uid)),
 aud0 AS (SELECT stream_id, tick, count(*) AS nu, count(*) FILTER (silent) AS nsil, CAST(sum(c) AS BIGINT) AS nm, CAST(sum(c) FILTER (r <= 3) AS BIGINT) AS top FROM utr GROUP BY 1, 2),
-aud AS (SELECT g.stream_id, g.tick, CASE WHEN {4 * TICK_MS} * g.tick >= least({300 * TICK_MS * 4}, dur) THEN nsil END AS n_silent,
-        CASE WHEN {4 * TICK_MS} * g.tick >= least({300 * TICK_MS * 4}, dur) THEN nu END AS n_users,
-        CASE WHEN {4 * TICK_MS} * g.tick >= least({300 * TICK_MS * 4}, dur) THEN nsil / nu END AS activation,
+aud AS (SELECT g.stream_id, g.tick, CASE WHEN {4 * tick} * g.tick >= least({300 * tick * 4}, dur) THEN nsil END AS n_silent,
+        CASE WHEN {4 * tick} * g.tick >= least({300 * tick * 4}, dur) THEN nu END AS n_users,
+        CASE WHEN {4 * tick} * g.tick >= least({300 * tick * 4}, dur) THEN nsil / nu END AS activation,
         CASE WHEN g.tick >= 10 THEN top END AS top3, CASE WHEN g.tick >= 10 THEN top / nm END AS concentration
         FROM grid g JOIN bnd USING (stream_id) LEFT JOIN aud0 USING (stream_id, tick)),
 ov0 AS (SELECT stream_id, tick, uid, bool_or(a <= 30) AS now, bool_or(a > 30) AS bef FROM (SELECT stream_id, uid, a, sec + a AS tick FROM (SELECT DISTINCT stream_id, sec, uid FROM m), (SELECT unnest(range(1, 61)) AS a)) GROUP BY 1, 2, 3),
@@ -266,7 +346,7 @@ spm AS (SELECT stream_id, tick, coalesce(repeat_ratio >= 0.8 AND concentration >
 """
 
 
-def _cands(cut: str = "mu + 2 * root / n", strong: str = "mu + 3 * root / n", spam: bool = True, by_overlap: bool = True, least: int = 3) -> str:
+def _cands(cut: str = "mu + 2 * root / n", strong: str = "mu + 3 * root / n", spam: bool = True, by_overlap: bool = True, least: int = 3, tick: int = TICK_MS) -> str:
     return f""",
 thr AS (SELECT stream_id, {cut} AS tc, {strong} AS ts FROM stat WHERE sigma > 0),
 hot AS (SELECT cnt.stream_id, cnt.tick FROM cnt JOIN thr USING (stream_id) JOIN spm USING (stream_id, tick) WHERE d > tc {"AND NOT spam" if spam else ""}),
@@ -277,7 +357,7 @@ sp AS (SELECT stream_id, min(a) AS t_start, max(b) AS t_end FROM (SELECT *, sum(
 pk AS (SELECT sp.stream_id, t_start, t_end, max(d) AS peak_density FROM sp JOIN cnt ON cnt.stream_id = sp.stream_id AND tick BETWEEN t_start AND t_end GROUP BY 1, 2, 3),
 cd AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY peak_t, t_start) - 1 AS cand_id, t_start, t_end, peak_t, peak_density,
        CASE WHEN peak_density > ts THEN 'strong' ELSE 'candidate' END AS level, t_end - t_start AS duration,
-       CASE WHEN t_end - t_start < 60 THEN 'spike' WHEN t_end - t_start < 180 THEN 'short' WHEN t_end - t_start < 600 THEN 'plateau' ELSE 'long' END AS shape
+       CASE WHEN (t_end - t_start) * {tick // 1000} < 60 THEN 'spike' WHEN (t_end - t_start) * {tick // 1000} < 180 THEN 'short' WHEN (t_end - t_start) * {tick // 1000} < 600 THEN 'plateau' ELSE 'long' END AS shape
        FROM (SELECT pk.*, (SELECT min(tick) FROM cnt WHERE cnt.stream_id = pk.stream_id AND tick BETWEEN t_start AND t_end AND d = peak_density) AS peak_t FROM pk) JOIN thr USING (stream_id))
 """
 
@@ -352,6 +432,13 @@ sgm AS (SELECT *, lo - start_ms AS local_start_ms, hi - start_ms AS local_end_ms
 """
 
 
+_FILES = """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS uid, (epoch_us(ts) // 1000) AS ts_ms, CASE WHEN value < 50 THEN event_type ELSE event_type || ' ' || props END AS text FROM events),
+xf AS (SELECT uid, ts_ms // 86400000 AS day, (CAST(uid AS BIGINT) * 31 + ts_ms // 86400000) % 13 AS kind, 'chat-' || uid || '-' || CAST(ts_ms // 86400000 AS VARCHAR) || '.xml' AS path, ts_ms, text FROM e),
+xg AS (SELECT path, uid, day, kind, count(*) AS n FROM xf GROUP BY 1, 2, 3, 4)
+"""
+
+
 def _r(*names: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in names)
 
@@ -362,6 +449,7 @@ def _first(value: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     b, day = _base(), _base("CAST(CAST(ts AS DATE) AS VARCHAR)")
+    sec = _base(tick=1000)
     c = b + _cands()
     full = c + _COHORTS + _SIGNALS + _SCORED
     thr = "SELECT stream_id, n, {} FROM {}"
@@ -402,6 +490,23 @@ def oracle_sql() -> dict[str, str]:
         "session_chunks": _CHUNKS + "SELECT path, platform, user_name, session_no FROM cl",
         "dedup_records": b + "SELECT DISTINCT ts_ms, uid, text FROM msg",
         "interval_filter": b + "SELECT ts_ms, uid, text FROM msg JOIN bnd USING (stream_id) WHERE ts_ms BETWEEN origin + 86400000 AND origin + 172800000",
+        "xml_messages": _FILES + "SELECT path, uid, ts_ms, text FROM xf WHERE kind <> 0",
+        "xml_files": _FILES + """SELECT path, CASE kind WHEN 0 THEN 'skipped' WHEN 1 THEN 'repaired' WHEN 2 THEN 'repaired' ELSE 'ok' END AS status,
+            CASE kind WHEN 1 THEN 'file breaks off, closed at its end' WHEN 2 THEN 'control characters removed' END AS reason, CASE WHEN kind = 0 THEN 0 ELSE n END AS n_messages FROM xg""",
+        "xml_metadata": _FILES + "SELECT path, 'live' AS platform, CASE WHEN CAST(uid AS BIGINT) % 10 <> 0 THEN uid END AS user_name, 'day ' || CAST(day AS VARCHAR) AS room_title FROM xg",
+        "unclassified": _FILES + "SELECT path, 'live' AS platform FROM xg WHERE CAST(uid AS BIGINT) % 10 = 0",
+        "xml_sessions": _FILES + """SELECT 'live' AS platform, uid AS user_name, day * 86400000 AS start_ms, day * 86400000 + 86000000 AS end_ms, 'day ' || CAST(day AS VARCHAR) AS title, CAST(1 AS BIGINT) AS n_chunks, CAST(1 AS BIGINT) AS ordinal,
+            strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') || ' 第1场 · day ' || CAST(day AS VARCHAR) AS label FROM xg WHERE CAST(uid AS BIGINT) % 10 <> 0""",
+        "paired_videos": """WITH h AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS uid, (epoch_us(ts) // 1000) // 3600000 AS h FROM events),
+            n AS (SELECT (CAST(uid AS BIGINT) + h) % 5 AS k, '/rec/' || uid || '/' || strftime(make_timestamp(h * 3600000000), '%Y-%m-%d-%H-%M-%S') || '-000' AS p FROM h)
+            SELECT p || '-chat.xml' AS path, CASE k WHEN 0 THEN p || '-chat.flv' WHEN 1 THEN p || '-video.MP4' WHEN 3 THEN p || '-chat.flv' END AS video, CASE k WHEN 2 THEN 'ambiguous' WHEN 4 THEN 'missing' END AS problem FROM n""",
+        "choices": _CHUNKS + """, ss AS (SELECT platform, user_name, session_no, min(created_ms) AS start_ms, count(*) AS n FROM cl GROUP BY 1, 2, 3)
+            SELECT platform, user_name, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_chunks, min(start_ms) AS first_start_ms, max(start_ms) AS last_start_ms FROM ss GROUP BY 1, 2""",
+        "interval_preview": day + "SELECT stream_id, count(*) FILTER (rel BETWEEN 3600000 AND 7200000) AS n FROM m GROUP BY 1",
+        "density_seconds": sec + "SELECT stream_id, tick, d FROM cnt WHERE d > 0",
+        "activation_seconds": sec + "SELECT stream_id, tick, n_silent, n_users, activation FROM aud WHERE n_users IS NOT NULL",
+        "overlap_seconds": sec + "SELECT * FROM ov WHERE n_any IS NOT NULL",
+        "candidates_seconds": sec + _cands(tick=1000) + "SELECT * FROM cd",
         "chunk_videos": f"WITH {_VIDEOS} SELECT * FROM vd",
         "clip_plan": c + _CLIPS + "SELECT stream_id, cand_id, abs_start_ms, abs_end_ms, overlaps_previous FROM cp",
         "clip_segments": c + _SEGMENTS + "SELECT cand_id, source, local_start_ms, local_end_ms, segment_index, n_segments FROM sgm",

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.shipping import ship_package
+
 #: Signs that XML forbids, and how much of a file's head holds its metadata.
 CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 HEAD_BYTES = 65536
@@ -178,6 +180,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def contents(frame: DataFrame) -> DataFrame:
     """What each of the files (path, content) holds: status (ok, repaired, skipped), reason, metadata and messages."""
+    ship_package(frame.sparkSession)
     return frame.select("path", "content").mapInPandas(_rows, READ_SCHEMA)
 
 
@@ -196,13 +199,40 @@ def chunk_table(read: DataFrame, times: DataFrame) -> DataFrame:
     return read.join(times, "path").select("path", "created_ms", "modified_ms", *[F.col("metadata").getItem(k).alias(k) for k in ("platform", "user_name", "room_title")])
 
 
+HEAD_SCHEMA = "path string, metadata map<string,string>"
+
+
+def heads(paths: DataFrame) -> DataFrame:
+    """path and metadata of files, of which no more than HEAD_BYTES are read: for lists of many recordings."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                uri = path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as f:
+                    found.append((path, metadata(f.read(HEAD_BYTES))))
+            yield pd.DataFrame(found, columns=["path", "metadata"])
+
+    ship_package(paths.sparkSession)
+    return paths.select("path").mapInPandas(run, HEAD_SCHEMA)
+
+
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """path, created_ms (time of the last change of the file's entry) and modified_ms of XML files under a local folder, on the driver."""
-    rows = []
-    for folder, _, names in os.walk(root):
-        for n in names:
-            if n.endswith(".xml"):
-                full = os.path.join(folder, n)
-                s = os.stat(full)
-                rows.append((f"file:{full}", int(s.st_ctime * 1000), int(s.st_mtime * 1000)))
-    return spark.createDataFrame(rows, "path string, created_ms bigint, modified_ms bigint")
+    """path, created_ms and modified_ms of XML files anywhere under a folder; contents aren't read.
+
+    Stores tell when a file was changed. Where it is a local file too, its entry's last change counts as its making.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            local = [p.removeprefix("file://").removeprefix("file:") for p in batch["path"]]
+            made = [int(os.stat(x).st_ctime * 1000) if p.startswith("file:") and os.path.exists(x) else m for p, x, m in zip(batch["path"], local, batch["modified_ms"], strict=True)]
+            yield pd.DataFrame({"path": batch["path"], "created_ms": made, "modified_ms": batch["modified_ms"]})
+
+    ship_package(spark)
+    return found.select("path", F.unix_millis("modificationTime").alias("modified_ms")).mapInPandas(run, "path string, created_ms bigint, modified_ms bigint")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import subprocess
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.text import recorder_start_ms
 from tideline.operators.clips import VIDEO_KINDS
+from tideline.shipping import ship_package
 
 
 class MediaError(RuntimeError):
@@ -59,3 +62,29 @@ def probe(path: str, ffprobe: str = "ffprobe", timeout: int = 120) -> tuple[floa
     if done.returncode:
         raise MediaError(f"{path}: {done.stderr.strip()}")
     return probe_result(done.stdout)
+
+
+PROBE_SCHEMA = "path string, duration_s double, has_video boolean, has_audio boolean, problem string"
+
+
+def probed(files: DataFrame, ffprobe: str = "ffprobe") -> DataFrame:
+    """What the probe says about each file (path): duration_s, has_video, has_audio, or the problem. Files are probed in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    rows.append((path, *probe(path.removeprefix("file://").removeprefix("file:"), ffprobe), None))
+                except MediaError as e:
+                    rows.append((path, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PROBE_SCHEMA.split(", ")]).astype({"has_video": "object", "has_audio": "object"})
+
+    ship_package(files.sparkSession)
+    return files.select("path").mapInPandas(run, PROBE_SCHEMA)
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path and changed_ms of every file under a folder of any store that Spark reads; contents aren't."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select("path", F.unix_millis("modificationTime").alias("changed_ms"))
