@@ -3,27 +3,22 @@
 from __future__ import annotations
 
 import gc
-import io
 import os
 import re
 import tempfile
-import threading
 import uuid
-import zipfile
 import zlib
 from collections.abc import Callable
-from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCK = threading.Lock()
-_SHIPPED: set[str] = set()
-
+from tideline.shipping import ship_package
 
 #: Rows and bytes of a batch between Spark and Python: whole texts are long, and both sides hold batches outside the heap.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,20 +30,7 @@ def ship(spark: SparkSession) -> None:
         now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
-    app = spark.sparkContext.applicationId
-    with _LOCK:
-        if app in _SHIPPED:
-            return
-        root = Path(__file__).resolve().parents[1]
-        name = f"tideline-{app}.zip"
-        target = Path(tempfile.mkdtemp(prefix="tideline-")) / name
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, f"{root.name}/{p.relative_to(root)}")
-        target.write_bytes(buffer.getvalue())
-        spark.sparkContext.addPyFile(str(target))
-        _SHIPPED.add(app)
+    ship_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -226,6 +208,6 @@ def learning_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
 
 def _marks(text: str) -> set[tuple[int, int]]:
     """Three least hashes of the text's runs of four words: texts that share most runs share one of them, likely."""
-    w = text.encode().split()
-    runs = [zlib.crc32(b" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))] if w else [0]
-    return {(k, min((h * m + k) & 0xFFFFFFFF for h in runs)) for k, m in enumerate((1, 2654435761, 2246822519))}
+    w = text.encode("utf-8", "replace").split()
+    h = np.array([zlib.crc32(b" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))] if w else [0], np.uint64)
+    return {(k, int(((h * np.uint64(m) + np.uint64(k)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 2654435761, 2246822519))}
