@@ -358,21 +358,63 @@ def test_vectors(spark):
 
 
 def test_large_tight_group_of_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vecgraph, "BLOCK", 64)
+    monkeypatch.setattr(vecgraph, "MOST_MEMBERS", 64)
     r = np.random.default_rng(9)
     center = r.normal(size=16)
-    rows = [(center + 0.02 * r.normal(size=16)).tolist() for _ in range(200)]
+    rows = [(center + 0.02 * r.normal(size=16)).tolist() for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
     got = vecgraph.linked(df).collect()
-    brute = vector_brute(rows, list(range(200)))
+    brute = vector_brute(rows, list(range(600)))
     assert sum(x["n_links"] for x in got) >= 0.97 * sum(n for n, _ in brute.values())
     assert {x["component_id"] for x in got} == {0}
 
 
-def test_range_search_recall():
-    r = np.random.default_rng(10)
-    x = vecgraph.unit(np.concatenate([r.normal(size=(1, 32)) + 0.15 * r.normal(size=(25, 32)) for _ in range(30)]))
-    graph = vecgraph.robust_pruned(x)
-    q, v = vecgraph.range_search(x, x, graph, 0.95)
+def many_vectors(seed, groups=60, members=12, d=24, spread=0.045):
+    r = np.random.default_rng(seed)
+    return np.concatenate([c + spread * np.linalg.norm(c) / np.sqrt(d) * 4 * r.normal(size=(members, d)) * r.random((members, 1)) for c in r.normal(size=(groups, d))])
+
+
+def test_regions_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vecgraph, "PER_REGION", 60)
+    monkeypatch.setattr(vecgraph, "PER_SHARD", 24)
+    rows = many_vectors(12)
+    brute = vector_brute(rows.tolist(), list(range(len(rows))))
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id bigint, embedding array<double>")
+    got = {x["vec_id"]: x["n_links"] for x in vecgraph.linked(df).collect()}
+    total = sum(n for n, _ in brute.values())
+    assert total > 1000 and all(n <= brute[i][0] for i, n in got.items()) and sum(got.values()) >= 0.97 * total
+
+
+def test_below_the_target_all_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(vecgraph, "PER_REGION", 60)
+    monkeypatch.setattr(vecgraph, "audit", lambda *_: 0.1)
+    rows = many_vectors(13)
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id bigint, embedding array<double>")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vecgraph.linked(df, overlap=1, beam=1).collect()}
+    assert got == vector_brute(rows.tolist(), list(range(len(rows))))
+
+
+def flat(links, n):
+    src, dst = links
+    return np.concatenate(([0], np.cumsum(np.bincount(src, minlength=n)))), dst
+
+
+def test_walks_cross_shards(monkeypatch):
+    monkeypatch.setattr(vecgraph, "PER_SHARD", 40)
+    x = vecgraph.unit(many_vectors(14, groups=50))
+    monkeypatch.setattr(vecgraph.shards, "__defaults__", (40, 2))
+    own, medoids = vecgraph.shards(x)
+    assert len(own) > 5 and set(np.concatenate(own)) == set(range(len(x))) and len(medoids) > 5
+    first, nb = flat(vecgraph.united(x), len(x))
+    # from one medoid alone, so that nearly all finds lie in other shards
+    q, v = vecgraph.range_search(x, x, first, nb, medoids[:1], 0.95)
     truth = int((x @ x.T >= 0.95).sum())
     assert len(set(zip(q.tolist(), v.tolist(), strict=True))) >= 0.9 * truth
+
+
+def test_rows_without_ids_and_repeated_rows_of_vectors(spark):
+    v, w = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    rows = [(None, v, 1), (3, v, 1), (3, v, 1), (4, [2.0, 0.0, 1.0], 1), (None, w, 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, vec int")
+    got = sorted((x["vec_id"] or -1, x["n_links"], x["component_id"] or -1, x["kept"]) for x in vecgraph.linked(df).collect())
+    assert got == [(-1, 0, -1, True)] * 3 + [(3, 3, 3, True)] * 2 + [(4, 3, 3, False)]
