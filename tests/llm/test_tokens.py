@@ -95,7 +95,10 @@ def test_repair_operator(spark):
         row = row.asDict()
         names = np.frombuffer(row["doc_ids"], "<i8")
         for k in (0, len(names) - 1):
-            assert repair.decode_document(row, k).tolist() == [*lib.encode(texts[names[k]] or "", add_special_tokens=False).ids, 2]
+            ids = [*lib.encode(texts[names[k]] or "", add_special_tokens=False).ids, 2]
+            assert repair.decode_document(row, k).tolist() == ids
+            for a, b in ((0, 1), (len(ids) // 3, len(ids) // 2), (len(ids) - 1, len(ids) + 5), (len(ids), None)):
+                assert repair.decode_document(row, k, a, b).tolist() == ids[a:b]
     empty, _ = repair.write_shards(docs.where("false"), WORD)
     assert repair.read_documents(empty).count() == 0
 
@@ -144,3 +147,23 @@ def test_packing_operator(spark):
         assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]])
     assert {r["doc_id"] for r in rows} == set(range(len(texts)))
     assert packing.packed(documents(spark, []), WORD).count() == 0
+
+
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(2)
+    seq = np.concatenate([np.append(r.choice(60, 40, p=np.arange(60) / 1770), 2) for _ in range(300)])
+    seq = np.concatenate((seq, np.tile(seq[:300], 30)))
+    symbols, left, right = repair.compress(seq, 100, 2, gain=0.0)
+    lengths = repair.rule_lengths(left, right, 100)
+    assert lengths.max() > 32  # rules go deeper than a few rounds
+    flat, start = repair.expansions(left, right, lengths, 100)
+    assert (repair.expand(symbols, flat, start, 100) == seq).all() and (repair.expanded(symbols, left, right, 100) == seq).all()
+    count, at = {}, 0
+    while at + 1 < len(symbols):  # occurrences that don't overlap
+        a, b = int(symbols[at]), int(symbols[at + 1])
+        if 2 not in (a, b):
+            count[a, b] = count.get((a, b), 0) + 1
+            if a == b and at + 2 < len(symbols) and symbols[at + 2] == b:
+                at += 1
+        at += 1
+    assert max(count.values()) < 2 * repair.LEAST

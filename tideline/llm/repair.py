@@ -3,8 +3,9 @@
 A file row is one shard of whole documents: its rules (left, right, expansion length), the compressed symbols of all
 its documents and, for each document, its id, its count of symbols and its count of ids. Symbols below the
 vocabulary's size are ids; symbol base + k is rule k. No rule spans documents, so any document is decoded from its
-own symbols alone. Rounds replace the most frequent pairs of a shard at once, and of overlapping occurrences the more
-frequent pair's; each round counts all pairs of the shard exactly.
+own symbols alone, and any part of it from the symbols that its rules' lengths point to. Rounds replace the most
+frequent pairs of a shard at once, and of overlapping occurrences the more frequent pair's; each round counts all
+pairs of the shard exactly. They go on until no pair is frequent enough or a round spares too little.
 
 Defined results: a null text counts as empty and has the end id alone; null ids come first; rows that repeat an id
 follow each other in order of their text; an empty table gives an empty result; other columns are ignored.
@@ -28,11 +29,12 @@ from tideline.llm.tokens import WordIds, encoder, in_slices
 SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 13
 #: Chunks that a worker's encoder holds.
-HELD = 2_000_000
-#: Rounds of replacement, pairs replaced in a round at most, and the least count of a pair that is replaced.
-ROUNDS = 5
+HELD = 1_500_000
+#: Pairs replaced in a round at most, and the least count of a pair that is replaced.
 PAIRS = 1 << 14
 LEAST = 4
+#: Rounds end when no pair is so frequent, or when one spares less than this share of the symbols.
+GAIN = 1 / 256
 
 SHARD_SCHEMA = (
     "part int, shard int, base int, n_docs int, n_tokens bigint, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary, "
@@ -41,14 +43,12 @@ SHARD_SCHEMA = (
 _NAMES = [c.split(" ")[0] for c in SHARD_SCHEMA.split(", ")]
 
 
-def compress(seq: np.ndarray, base: int, end: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(seq: np.ndarray, base: int, end: int, pairs: int = PAIRS, least: int = LEAST, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left and right of each rule) of ids; no rule holds the id end, so ends stay in place."""
     seq = seq.astype(np.uint32)
     lefts, rights, size = [], [], base
     slots = np.uint64(64 - 18)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         codes = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         codes[(seq[:-1] == end) | (seq[1:] == end)] = np.uint64(0xFFFFFFFFFFFFFFFF)
         ranked = np.sort(codes)
@@ -88,6 +88,8 @@ def compress(seq: np.ndarray, base: int, end: int, rounds: int = ROUNDS, pairs:
         lefts.append((used >> np.uint64(32)).astype(np.uint32))
         rights.append((used & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         size += len(used)
+        if len(at) < gain * len(stay):
+            break
     none32 = np.zeros(0, np.uint32)
     return seq, np.concatenate(lefts) if lefts else none32, np.concatenate(rights) if rights else none32
 
@@ -201,21 +203,43 @@ def decode_shard(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return expand(symbols, flat, start, base), np.cumsum(np.frombuffer(row["doc_tokens"], "<u4").astype(np.int64))
 
 
-def decode_document(row: dict, k: int) -> np.ndarray:
-    """Ids of document k of a shard, from that document's symbols alone."""
+def expanded(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
+    """Ids of a few symbols: only the rules that they name are followed."""
+    symbols = symbols.astype(np.int64)
+    while (rule := symbols >= base).any():
+        out = np.empty(len(symbols) + int(rule.sum()), np.int64)
+        at = np.arange(len(symbols)) + np.cumsum(rule) - rule
+        out[at[~rule]] = symbols[~rule]
+        k = symbols[rule] - base
+        out[at[rule]], out[at[rule] + 1] = left[k], right[k]
+        symbols = out
+    return symbols.astype(np.uint32)
+
+
+def decode_document(row: dict, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Ids start to stop (all without) of document k of a shard, from the symbols that cover them alone."""
     base = row["base"]
     last = np.cumsum(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64))
     lo, hi = (last[k - 1] if k else 0), last[k]
-    left, right = np.frombuffer(row["rule_left"], "<u4"), np.frombuffer(row["rule_right"], "<u4")
-    flat, start = expansions(left, right, np.frombuffer(row["rule_length"], "<u4").astype(np.int64), base)
     symbols = np.frombuffer(row["low"], "<u2")[lo:hi].astype(np.uint32) | (np.frombuffer(row["high"], np.uint8)[lo:hi].astype(np.uint32) << 16)
-    return expand(symbols, flat, start, base)
+    left, right, length = (np.frombuffer(row[c], "<u4") for c in ("rule_left", "rule_right", "rule_length"))
+    size = np.ones(len(symbols), np.int64)
+    rule = symbols >= base
+    size[rule] = length[symbols[rule].astype(np.int64) - base]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    stop = total if stop is None else min(stop, total)
+    if start >= stop:
+        return np.zeros(0, np.uint32)
+    a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
+    skip = start - (int(ends[a - 1]) if a else 0)
+    return expanded(symbols[a:b], left, right, base)[skip : skip + stop - start]
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document of written shards."""
     spark: SparkSession = shards.sparkSession
-    starts, _ = written(shard_starts(shards), "repair-starts", narrow=True)
+    starts, _ = written(shard_starts(shards), "repair-starts", narrow=True)  # one row a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
