@@ -29,7 +29,7 @@ from tideline.llm.common import fold, learning_texts, ship
 from tideline.llm.tokens import in_slices, release, trim
 
 #: Bound of the learning sample: rows of each label, and characters of a text that may be in it.
-PER_CLASS = 2000
+PER_CLASS = 1500
 LONGEST = 50_000
 #: Words of a window that is scored, and of one that is chosen to train on.
 WINDOW_WORDS = 6
@@ -39,7 +39,7 @@ LEVEL = 13
 #: Bytes of the content that both dictionaries share, and of what each has of its own in each turn; the last turns
 #: train on single words of the windows chosen before.
 SHARED_BYTES = 65_536
-OWN_BYTES = (8_192, 8_192, 8_192, 2_048, 2_048)
+OWN_BYTES = (8_192, 8_192, 6_144, 3_072)
 LAST_TURNS = 2
 K = 32
 #: Ordinary windows that the shared content is trained on, and those that a choice is held against.
@@ -133,18 +133,19 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, l
     shared = trained(SHARED_BYTES, plain[:: max(1, len(plain) // SHARED_WINDOWS)], 64)
     control = plain[:: max(1, len(plain) // CONTROL)]
     own = [[w for t in toxic[h::2] for w in windows(t, CHOICE_WORDS)] for h in (0, 1)]
-    chosen = own
+    chosen, known = own, None
     for turn, size in enumerate(OWN_BYTES):
         if turn == len(OWN_BYTES) - LAST_TURNS:  # from here on the words of what was chosen
             own = chosen = [[x for w in c for x in _words(w)] or c for c in chosen]
-            control = [x for w in control for x in _words(w)]
-        common = compressor(shared + trained(size, control, K))
+            control, known = [x for w in control for x in _words(w)], None
+        if known != size:
+            common = compressor(shared + trained(size, control, K))
+            plain_length, length, known = _lengths(common, control), [_lengths(common, o) for o in own], size
         tell = [compressor(shared + trained(size, c, K)) for c in chosen]
-        usual = _lengths(common, control)
         chosen = []
         for h in (0, 1):
-            gain = _lengths(common, own[h]) - _lengths(tell[1 - h], own[h])
-            cut = _cut(gain, usual - _lengths(tell[1 - h], control))
+            gain = length[h] - _lengths(tell[1 - h], own[h])
+            cut = _cut(gain, plain_length - _lengths(tell[1 - h], control))
             chosen.append([w for w, g in zip(own[h], gain.tolist(), strict=True) if g >= cut] or own[h])
     size = OWN_BYTES[-1]
     halves = [shared + trained(size, c, K) for c in chosen]
