@@ -1,6 +1,11 @@
 """Rows and brute-force results for the corpus operators' tests."""
 
+import glob
+import os
 import random
+import re
+
+from tideline import llm
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 PLANTED = "Every passage of this kind stands in more than one document. It has whole sentences of some length, so that a reader would know it again. Nobody meant to repeat it here, but somebody did so anyway, and the corpus now has it twice."
@@ -31,11 +36,19 @@ def documents(spark, texts, extra=""):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("_id", "_sha", "_key", "component_id", "fp", "kept"):
-            df = df.withColumn(name, F.lit("clash"))
+        df = df.select("*", *[F.lit("clash").alias(name) for name in names_in_use() if name not in df.columns])
     return df
 
 
+def names_in_use():
+    """Every name that the corpus operators give a column, from their code, and others that they might."""
+    found = {"component_id", "fp", "kept", "_removed", "_tid", "_kid", "_ksha", "_gone"}
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.abspath(llm.__file__)), "*.py")):
+        with open(path, encoding="utf-8") as f:
+            found.update(x for pair in re.findall(r"""alias\("(\w+)"\)|withColumn\("(\w+)\"|fresh\(docs, "(\w+)\"""", f.read()) for x in pair if x)
+    return sorted({x.lower() for x in found})
+
+
 def components(n, links):
     root = list(range(n))
 

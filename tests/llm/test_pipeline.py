@@ -6,6 +6,7 @@ import sys
 
 import pytest
 from helpers import PLANTED, documents, rng, text
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
@@ -43,6 +44,37 @@ def test_stages(spark):
         assert stages[name](spark, empty, SF).count() == 0
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, repeated ids and clashing names: what a stage keeps stays as it was."""
+    base = [text(rng(400 + i), 60) for i in range(6)]
+    docs = documents(spark, [*base, base[0], base[1] + " end", None, "", "  ", "x" * 3000, "word"], extra="yes")
+    more = docs.where("doc_id = 2").unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(2).cast("bigint"))).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("bigint")))
+    docs = docs.unionByName(more)
+    names = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert len(names) > 40
+    stages = dict(pipeline.STAGES)
+
+    def rows(df):
+        return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in df.collect())
+
+    clean = stages["toxicity"](spark, docs, SF)
+    assert clean.schema == docs.schema and rows(clean) == rows(docs)
+    exact = stages["exact_dedup"](spark, docs, SF)
+    kept = [0, 1, 2, 2, 4, 5, 7, 10, 11, 12]  # of base 3 the row with the smaller id, of no text the longest
+    assert [i for i, _ in rows(exact)] == kept
+    near = stages["near_dedup"](spark, docs, SF)
+    assert sorted(i for i, _ in rows(near)) == [0, 1, 2, 2, 2, 4, 5, 8, 9, 10, 11, 12]
+    parts = stages["substring_dedup"](spark, exact, SF)
+    assert [i for i, _ in rows(parts)] == kept and dict(rows(parts))[7] == "end"
+    for df in (exact, near, parts):
+        assert df.columns == docs.columns and {tuple(r[c] for c in names) for r in df.collect()} == {("clash",) * len(names)}
+    pieces = stages["packing"](spark, docs, SF).groupBy("doc_id").sum("length").collect()
+    assert {r["doc_id"] for r in pieces} == {*range(13), None}
+    empty = docs.where("false")
+    for name, stage in stages.items():
+        assert stage(spark, empty, SF).count() == 0, name
+
+
 def test_entry_without_the_corpus_part(tmp_path):
     code = (
         "import sys\n"

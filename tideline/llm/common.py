@@ -49,18 +49,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str, narrow: bool = False) -> tuple[DataFrame, str]:
+def written(df: DataFrame, tag: str, narrow: bool = False, path: str | None = None) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and lost executors cost nothing.
 
     narrow: rows of a few numbers, made cheaply; they are written by a quarter of the tasks, into as many files.
-    Returns the table and its path, for discard().
+    path: where to write instead, to be kept. Other tables are deleted when the application ends, if not before by
+    discard(). Returns the table and its path.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(-(-shuffle_width(spark) // 4))
-    path = f"{shared_dir(spark)}/tideline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    at = path or f"{shared_dir(spark)}/tideline/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    if path is None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(at), at
 
 
 def fresh(docs: DataFrame, *names: str) -> list[str]:

@@ -149,8 +149,11 @@ def _shard_row(part: int, shard: int, base: int, end: int, ids: list[int | None]
     ]
 
 
-def write_shards(docs: DataFrame, path: str, end: int = 2) -> tuple[DataFrame, str]:
-    """Encode texts, append end to each, compress and write; returns the table of shards and its path."""
+def write_shards(docs: DataFrame, path: str, end: int = 2, out: str | None = None) -> tuple[DataFrame, str]:
+    """Encode texts, append end to each, compress and write; returns the table of shards and its path.
+
+    path: the tokenizer's file. out: where the shards go, to be kept; a table for this application without it.
+    """
     spark = docs.sparkSession
     ship(spark)
 
@@ -183,7 +186,7 @@ def write_shards(docs: DataFrame, path: str, end: int = 2) -> tuple[DataFrame, s
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(run, SHARD_SCHEMA), "repair-shards")
+    return written(rows.mapInArrow(run, SHARD_SCHEMA), "repair-shards", path=out)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:

@@ -273,7 +273,7 @@ def near_links(nodes: DataFrame, radius: int, tables: list[list[int]], block: in
     """Spanning links (a, b) of distinct fingerprints nodes(node bigint, fp binary) within the radius, found through the tables."""
     spark = nodes.sparkSession
     ship(spark)
-    
+
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
@@ -334,13 +334,14 @@ def near_links(nodes: DataFrame, radius: int, tables: list[list[int]], block: in
 def near_duplicates(prints: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) for rows doc_id and fp, which must be a written table."""
     spark = prints.sparkSession
-    kinds, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-kinds", narrow=True)
+    kinds, kinds_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "simhash-kinds", narrow=True)
     links, links_path = written(near_links(kinds.where("node is not null"), radius, tables), "simhash-links")
-    stars, _ = components(links)
+    stars, stars_path = components(links)
     discard(spark, links_path)
-    classes = kinds.join(stars, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = kinds.join(stars, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
     classes, _ = written(classes, "simhash-classes", narrow=True)
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    discard(spark, kinds_path, stars_path)
+    return looked_up(prints, classes, ["fp"], "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
