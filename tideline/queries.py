@@ -104,19 +104,19 @@ def runs(s, d):
 
 
 def candidates(s, d):
-    return _a(s, d).candidates
+    return _a(s, d, cached=True).candidates
 
 
 def candidates_time_only(s, d):
-    return _a(s, d, detection=DetectionParams(use_merge_overlap=False)).candidates
+    return _a(s, d, detection=DetectionParams(use_merge_overlap=False), cached=True).candidates
 
 
 def candidates_by_day(s, d):
-    return _a(s, d, by_day=True).candidates
+    return _a(s, d, by_day=True, cached=True).candidates
 
 
 def candidates_explicit(s, d):
-    return _a(s, d, detection=DetectionParams(candidate_threshold=4.0, strong_threshold=7.0, min_duration=0, spam_filter=False)).candidates
+    return _a(s, d, detection=DetectionParams(candidate_threshold=4.0, strong_threshold=7.0, min_duration=0, spam_filter=False), cached=True).candidates
 
 
 def lifecycle(s, d):
@@ -244,7 +244,7 @@ def overlap_seconds(s, d):
 
 
 def candidates_seconds(s, d):
-    return _seconds(s, d).candidates
+    return _seconds(s, d, cached=True).candidates
 
 
 def chunk_videos(s, d):
