@@ -99,9 +99,9 @@ def test_quality(spark, data):
 def test_sample_is_bounded_and_without_copies(data):
     docs, labels = data
     some = docs.withColumn("text", F.when(F.col("doc_id") < 300, F.lit("the same words stand in all of these")).otherwise(F.col("text")))
-    rows, counts = learning_texts(some.unionByName(some), labels.unionByName(labels), "toxic", 50, 400)
+    rows, counts = learning_texts(some.unionByName(some), labels.unionByName(labels), "toxic", 100, 400)
     whole = {r["doc_id"]: r["text"] for r in some.collect()}
-    assert sum(counts.values()) == 1800 and 20 < len(rows) <= 150 and len({r[0] for r in rows}) == len(rows)
+    assert sum(counts.values()) == 1800 and 20 < len(rows) <= 300 and len({r[0] for r in rows}) == len(rows)
     assert all(r[2] == whole[r[0]] and len(r[2]) <= 400 for r in rows)
     assert sum(r[2].startswith("the same") for r in rows) <= 1
 
