@@ -261,7 +261,7 @@ def test_similar_documents_are_told_by_row(spark):
 
 def test_set_fingerprints_of_similar_sets():
     r = np.random.default_rng(3)
-    for n in (16, 20, 40, 400):
+    for n in (32, 36, 60, 400):
         for _ in range(300):
             own = r.integers(0, 1 << 63, n, dtype=np.uint64)
             cut = n // 9  # of n, so many are exchanged: a similarity of 0.8 or a little more

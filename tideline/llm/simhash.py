@@ -353,11 +353,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
 
 # -- similar documents -----------------------------------------------------------------------------------------------
 
-#: Similar sets are told by fingerprints of two words: a pair of the least similarity differs in some 20 of 128 bits
-#: (24 at most, with a spread below 4.5), so none is beyond this radius but by a chance of less than a thousand millionth.
-#: Sets of fewer shingles than FEW may differ more, and are compared whatever their fingerprints.
-SET_RADIUS = 52
-FEW = 16
+#: Similar sets are told by fingerprints of two words: a pair of the least similarity differs in some 20 of 128 bits, with
+#: a spread of 4.1, so one is beyond this radius by a chance of about a ten millionth. Sets of fewer shingles than FEW
+#: may differ more, and are compared whatever their fingerprints.
+SET_RADIUS = 42
+FEW = 32
 #: Rows of a key up to which all pairs are compared at once, and rows that share a pivot beyond.
 SOME = 16
 CHUNK = 512
