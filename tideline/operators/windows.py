@@ -48,7 +48,7 @@ def burst(density: DataFrame, block: int = GRID_BLOCK) -> DataFrame:
     Windows run over blocks of ticks that repeat what their first and last ticks see of the neighbours, so that a
     long stream is dealt out.
     """
-    homes = [F.floor((F.col("tick") + shift) / block) for shift in (0, 2, -1)]
+    homes = [F.floor((F.col("tick") + shift) / block) for shift in (0, 1, 2, -1)]
     rows = density.withColumn("_block", F.explode(F.array_distinct(F.array(*homes))))
     by = Window.partitionBy("stream_id", "_block").orderBy("tick")
     three = by.rowsBetween(-1, 1)
