@@ -251,6 +251,27 @@ def test_large_groups_of_similar_documents_against_brute_force(spark, monkeypatc
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_unlike_pairs_of_a_large_group_are_not_verified(spark, monkeypatch):
+    w = text(rng(77), 150).split()
+    texts = []
+    for k in range(240):  # most are similar to some others only
+        r = rng(7000 + k)
+        v = list(w)
+        for at in r.sample(range(len(w)), r.randrange(0, 8)):
+            v[at] = f"edit{k}x{at}"
+        texts.append(" ".join(v))
+    sets = shingle_sets(texts)
+    found = [(i, j, len(a & sets[j]) / len(a | sets[j])) for i, a in enumerate(sets) for j in range(i)]
+    want = components(len(texts), [(i, j) for i, j, s in found if s >= 0.8])
+    assert len(set(want)) > 20
+    made, own = [], simhash._apart
+    monkeypatch.setattr(simhash, "_apart", lambda *args: made.append(own(*args)) or made[-1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    rows = sum(df.count() for df in made)
+    assert 0 < rows <= sum(0.75 <= s for *_, s in found) < 0.5 * len(found)
+
+
 def test_similar_documents_are_told_by_row(spark):
     base, other = text(rng(61), 80), text(rng(62), 80)
     rows = [(5, base, "x"), (1, base + " more", "x"), (5, other, "x"), (5, other, "x"), (None, base + " end", "x"), (9, None, "x"), (9, " ", "x")]
@@ -270,6 +291,33 @@ def test_set_fingerprints_of_similar_sets():
             assert np.bitwise_count(one ^ two).sum() <= simhash.SET_RADIUS
 
 
+def test_odd_sketches_of_similar_sets():
+    r = np.random.default_rng(5)
+    for n in (1, 4, 9, 10, 40, 300, 3000, 30_000):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        many = 200 if n < 1000 else 20
+        sets = [a]
+        for _ in range(many):
+            cut = int(r.integers(0, n // 9 + 1))  # exchanged, or left out: a similarity of 0.8 at least
+            sets.append(np.concatenate((a[cut:], r.integers(0, 1 << 63, cut, dtype=np.uint64))))
+            sets.append(a[: n - int(r.integers(0, n // 5 + 1))])
+        unlike = [np.concatenate((a[n // 4 :], r.integers(0, 1 << 63, n // 4, dtype=np.uint64))) for _ in range(many)]  # 0.6
+        sizes = np.array([len(x) for x in sets + unlike], np.int32)
+        own = np.array([np.frombuffer(simhash.odd_sketch(x), np.uint64) for x in sets + unlike])
+        near = simhash.sketches_near(sizes, own, np.zeros(len(own), np.int64), np.arange(len(own)), 0.8)
+        assert near[: len(sets)].all()
+        assert n < 40 or n > 3000 or not near[len(sets) :].any()
+
+
+def test_pairs_that_met_at_a_lesser_key():
+    firsts = np.full((4, simhash.FIRSTS), 9, np.int64)
+    firsts[0, :3], firsts[1, :2], firsts[2, :1] = (-5, 2, 9), (2, 9), (-7,)
+    key = np.array([9, 9, 9, 9])
+    i, j = np.array([0, 0, 1, 0, 1]), np.array([1, 2, 2, 3, 3])
+    assert simhash.met_before(key, firsts, i, j).tolist() == [True, False, False, False, False]
+    assert not simhash.met_before(np.full(4, 2), firsts, i, j).any()
+
+
 def test_a_sentence_that_occurs_once_stays(spark):
     one, two = "This first sentence stands in both of the two documents.", "That other sentence stands in both of the documents too."
     docs = documents(spark, [f"{one} Foo bar. {two}", f"Opening part here. {one} Never seen before. {two}"])

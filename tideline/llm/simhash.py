@@ -20,11 +20,12 @@ slices within a radius that no similar pair exceeds, and what is left is verifie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -358,6 +359,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
 #: may differ more, and are compared whatever their fingerprints.
 SET_RADIUS = 42
 FEW = 32
+#: Bits of a set's odd sketch, and by how many spreads the distance of a similar pair may pass its mean.
+SKETCH_BITS = 2048
+SPREADS = 6.0
+#: Least keys of each row that tell whether a pair has met before; what they don't tell is found again, and dropped later.
+FIRSTS = 16
 #: Rows of a key up to which all pairs are compared at once, and rows that share a pivot beyond.
 SOME = 16
 CHUNK = 512
@@ -384,6 +390,46 @@ def set_print(h: np.ndarray) -> tuple[int, int]:
     return int(one), int(two)
 
 
+def odd_sketch(h: np.ndarray) -> bytes:
+    """SKETCH_BITS parities: how many of a set's hashes fall to each bit, modulo 2.
+
+    What two sets share cancels, so their sketches differ in no more bits than they have elements that only one has.
+    """
+    return np.packbits(np.bincount((h % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def most_apart(both: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits in which the sketches of a similar pair differ at most, by the sum of both sizes.
+
+    That is the most elements that only one set has. Where these are so many that they meet in bits, it is the mean for
+    that number and SPREADS spreads (a chance of loss of about 10^-9).
+    """
+    alone = both * (1 - similarity) / (1 + similarity)
+    odd = (1 - (1 - 2 / SKETCH_BITS) ** alone) / 2
+    return np.minimum(alone + 1e-6, SKETCH_BITS * odd + SPREADS * np.sqrt(SKETCH_BITS * odd * (1 - odd)))
+
+
+def sketches_near(size: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the odd sketches (n, words) allow that sets i and j are of the similarity."""
+    out = np.zeros(len(i), bool)
+    most = most_apart(size[i].astype(np.int64) + size[j], similarity)
+    some = (1 << 19) // sketch.shape[1]
+    for lo in range(0, len(i), some):
+        own = slice(lo, lo + some)
+        out[own] = np.bitwise_count(sketch[i[own]] ^ sketch[j[own]]).sum(1, dtype=np.int64) <= most[own]
+    return out
+
+
+def met_before(key: np.ndarray, firsts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j, which meet at key[i], share a lesser one of their first keys (n, FIRSTS): there they have met too."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 1 << 13):
+        own = slice(lo, lo + (1 << 13))
+        a, b = firsts[i[own]], firsts[j[own]]
+        out[own] = ((a[:, :, None] == b[:, None, :]) & (a < key[i[own], None])[:, :, None]).any((1, 2))
+    return out
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, of shingles that several of some documents have, and in how many."""
     rate = ORDER_DOCS / max(ORDER_DOCS, docs.count())
@@ -541,23 +587,30 @@ def _met_batch(pairs: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a), pa.array(b, mask=~pair), of_rows(key), of_rows(size.astype(np.int32)), of_rows(one), of_rows(two)], names=["a", "b", "key", "size", "one", "two"])
 
 
-def _apart(rows: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+def _apart(docs: DataFrame, rows: DataFrame, near: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Candidate pairs (a, b) of rows (key, a, size, one, two) that share a key but no component yet.
 
     Keys whose rows are all of one component are done. Others are dealt into tiles, and each pair of tiles is a block.
+    In a group of near copies that differ in other places each, most pairs are somewhat similar, so that fingerprints
+    alone would let the square of its size pass; the odd sketches of the sets turn away nearly all that aren't similar.
     """
     spark = rows.sparkSession
     placed = rows.join(near, F.col("a") == F.col("node"), "left").select("key", "a", "size", "one", "two", F.coalesce("component", "a").alias("component"))
     placed, _ = written(placed, "similar-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("m"), F.count("*").alias("n")).where("l < m").select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("tiles"))
-    dealt = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("a", F.lit(7)), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    mixed, _ = written(mixed, "similar-mixed", narrow=True)
+    placed = placed.join(mixed, "key")
+    firsts = F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS)
+    named, _ = written(placed.groupBy(F.col("a").alias("node")).agg(firsts.alias("firsts")), "similar-named", narrow=True)
+    sketches, _ = written(_told(docs, named, shingle, odd_sketch).join(named, "node").select(F.col("node").alias("a"), F.col("told").alias("sketch"), "firsts"), "similar-sketches")
+    dealt = placed.join(sketches, "a").withColumn("own", F.pmod(F.xxhash64("a", F.lit(7)), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
-    dealt = dealt.select("key", lo.alias("lo"), hi.alias("hi"), side.alias("side"), F.col("a").alias("node"), "size", "one", "two", "component")
+    dealt = dealt.select("key", lo.alias("lo"), hi.alias("hi"), side.alias("side"), F.col("a").alias("node"), "size", "one", "two", "component", "sketch", "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, low, high, side, node, size, one, two, component = now
+            key, low, high, side, node, size, one, two, component, sketch, firsts = now
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
             first = np.flatnonzero(new)
             fp = _prints(one, two)
@@ -566,15 +619,19 @@ def _apart(rows: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
                 right = np.arange(at, to)[side[at:to] != 0]
                 few = size[at:to].min() < FEW
                 for k in range(0, len(left), 256):
-                    some = left[k : k + 256]
+                    some, rest = left[k : k + 256], right[k:] if side[at] == 2 else right
                     if few:
-                        i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+                        i, j = np.repeat(some, len(rest)), np.tile(rest, len(some))
                     else:
-                        q, r = within(fp[some], fp[right], SET_RADIUS)
-                        i, j = some[q], right[r]
-                    other = component[i] != component[j]
+                        q, r = within(fp[some], fp[rest], SET_RADIUS)
+                        i, j = some[q], rest[r]
+                    other = (component[i] != component[j]) & ((side[i] != 2) | (i < j))
                     i, j = i[other], j[other]
                     ok = _may_be_similar(size, fp, i, j, similarity)
+                    i, j = i[ok], j[ok]
+                    ok = sketches_near(size, sketch, i, j, similarity)
+                    i, j = i[ok], j[ok]
+                    ok = ~met_before(key, firsts, i, j)
                     pairs = _pairs(node, i[ok], j[ok])
                     yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -583,6 +640,12 @@ def _apart(rows: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            now.append(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            firsts = batch.column(10)
+            own = np.tile(now[0][:, None], (1, FIRSTS))  # filled up with the row's key, which is no earlier one
+            n = pc.list_value_length(firsts).to_numpy(zero_copy_only=False)
+            own[np.arange(FIRSTS) < n[:, None]] = firsts.flatten().to_numpy(zero_copy_only=False)
+            now.append(own)
             if held is not None:
                 now = [np.concatenate((h, x)) for h, x in zip(held, now, strict=True)]
             change = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]))
@@ -603,10 +666,10 @@ def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Those of the pairs (a, b) of rows whose whole shingle sets have the similarity, and node and id of all rows in pairs.
+def _told(docs: DataFrame, named: DataFrame, shingle: int, tell: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """node, id and told (what tell makes of the set of shingles) of the rows named (node, a written table).
 
-    Both are written. Of the texts, those that a filter of the named rows turns away are neither taken apart nor shuffled.
+    Of the texts, those that a filter of the named rows turns away are neither taken apart nor shuffled.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -615,8 +678,19 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
             trim()
             texts = batch.column(2)
             for lo, hi in in_slices(texts):
-                raw = [_set(t, shingle).tobytes() for t in texts.slice(lo, hi - lo).to_pylist()]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["node", "id", "hashes"])
+                raw = [tell(_set(t, shingle)) for t in texts.slice(lo, hi - lo).to_pylist()]
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["node", "id", "told"])
+
+    maybe = key_filter(named, "node", named.count())(F.col("node"))
+    rows = _text_row(docs).where(maybe).join(named, "node", "left_semi")
+    return rows.mapInArrow(sets, "node bigint, id bigint, told binary").dropDuplicates(["node"])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Those of the pairs (a, b) of rows whose whole shingle sets have the similarity, and node and id of all rows in pairs.
+
+    Both are written.
+    """
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -625,11 +699,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     named, named_path = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-named", narrow=True)
-    maybe = key_filter(named, "node", named.count())(F.col("node"))
-    rows = _text_row(docs).where(maybe).join(named, "node", "left_semi")
-    found, found_path = written(rows.mapInArrow(sets, "node bigint, id bigint, hashes binary").dropDuplicates(["node"]), "similar-sets")
-    a = found.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    b = found.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    found, found_path = written(_told(docs, named, shingle, np.ndarray.tobytes), "similar-sets")
+    a = found.select(F.col("node").alias("a"), F.col("told").alias("ha"))
+    b = found.select(F.col("node").alias("b"), F.col("told").alias("hb"))
     links, _ = written(pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(test, "a bigint, b bigint"), "similar-links", narrow=True)
     ids, _ = written(found.select("node", "id"), "similar-ids", narrow=True)
     discard(docs.sparkSession, named_path, found_path)
@@ -651,7 +723,7 @@ def _stars(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame,
     if rows.isEmpty():
         discard(spark, met_path, pairs_path)
         return near, ids
-    more = _apart(rows.select("key", "a", "size", "one", "two"), near, similarity).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _apart(docs, rows.select("key", "a", "size", "one", "two"), near, similarity, shingle).distinct().join(pairs, ["a", "b"], "left_anti")
     more, more_path = written(more, "similar-more", narrow=True)
     discard(spark, met_path)
     if more.isEmpty():
