@@ -1,6 +1,7 @@
 """Encoders against the library, Re-Pair's round trip, and packing."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from helpers import documents, odd_texts, rng, text
 from tokenizers import Tokenizer
 
-from tideline.llm import bpe, packing, repair
+from tideline.llm import bpe, packing, repair, tokens
 from tideline.llm.common import tokenizer_path
 from tideline.llm.tokens import WordIds
 
@@ -149,6 +150,40 @@ def test_packing_operator(spark):
     assert packing.packed(documents(spark, []), WORD).count() == 0
 
 
+def test_idle_workers_drop_their_caches(spark):
+    def held(batches):
+        for _ in batches:
+            pass
+        time.sleep(0.2)
+        yield tokens.pa.record_batch([tokens.pa.array([len(tokens._ENCODERS)])], names=["n"])
+
+    def clear(batches):
+        for _ in batches:
+            pass
+        tokens.release()  # what other tests' tasks left
+        time.sleep(0.2)
+        yield from ()
+
+    spark.range(0, 24, 1, 24).mapInArrow(clear, "n bigint").count()
+    packed = packing.packed(documents(spark, [text(rng(k), 50) for k in range(40)]), WORD)
+    assert packed.count() >= 40
+    time.sleep(tokens.REST_S + 2)
+    assert max(r["n"] for r in spark.range(0, 24, 1, 24).mapInArrow(held, "n bigint").collect()) == 0
+
+
+def test_an_encoder_that_is_asked_for_again_stays(monkeypatch):
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    monkeypatch.setattr(tokens, "REST_S", 0.3)
+    first = tokens.encoder(WordIds, WORD)
+    tokens.rest()
+    assert tokens.encoder(WordIds, WORD) is first
+    time.sleep(0.8)
+    assert tokens._ENCODERS
+    tokens.rest()
+    time.sleep(0.8)
+    assert not tokens._ENCODERS
+
+
 def test_no_frequent_pair_is_left():
     r = np.random.default_rng(2)
     seq = np.concatenate([np.append(r.choice(60, 40, p=np.arange(60) / 1770), 2) for _ in range(300)])

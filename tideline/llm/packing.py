@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import ship
-from tideline.llm.tokens import WordIds, encoder, in_slices
+from tideline.llm.tokens import WordIds, encoder, in_slices, rest
 
 #: Length classes of a window, lengths in a combination at most, and ids or documents at which a shard is packed.
 CLASSES = 64
@@ -34,6 +34,8 @@ SHARD_DOCS = 1 << 14
 
 #: Chunks that a packing worker's encoder holds: fewer than elsewhere, as packing follows other stages in the same workers.
 HELD = 400_000
+#: Characters that are encoded at once; what that takes is some forty bytes for each.
+SLICE = 500_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -205,7 +207,7 @@ def packed(docs: DataFrame, path: str, end: int = 1, window: int = 2048) -> Data
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in in_slices(texts, 2_000_000):
+            for lo, hi in in_slices(texts, SLICE):
                 for name, coded in zip(ids[lo:hi], words.encode(texts.slice(lo, hi - lo)), strict=True):
                     names.append(name)
                     parts.append(coded + tail)
@@ -215,6 +217,7 @@ def packed(docs: DataFrame, path: str, end: int = 1, window: int = 2048) -> Data
                         names, parts, held = [], [], 0
         if names:
             yield flush()
+        rest()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)

@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,14 +28,21 @@ _BAR = "\x01"
 
 _ENCODERS: dict[tuple, object] = {}
 
+#: Seconds after a task that a worker's caches are kept for another one.
+REST_S = 2.0
+_REST: list[threading.Timer] = []
+
 
 def encoder(kind: type, path: str):
     """This process's encoder for a file, with its cache; worker processes are used again by later tasks."""
     key = (kind.__name__, path)
+    while _REST:
+        _REST.pop().cancel()
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would each hold memory
-    if key not in _ENCODERS:
-        _ENCODERS[key] = kind(path)
-    return _ENCODERS[key]
+    found = _ENCODERS.get(key)
+    if found is None:
+        found = _ENCODERS[key] = kind(path)
+    return found
 
 
 class Generations:
@@ -77,6 +85,19 @@ def release() -> None:
         trim()
 
 
+def rest() -> None:
+    """At the end of a task: drop the caches of this process soon, unless another task asks for an encoder before.
+
+    Workers outlive their stage, and what they hold counts beside whatever the executor does next.
+    """
+    while _REST:
+        _REST.pop().cancel()
+    timer = threading.Timer(REST_S, release)
+    timer.daemon = True
+    _REST.append(timer)
+    timer.start()
+
+
 class Rows:
     """Row numbers of strings, by a 128-bit hash of each; the strings themselves aren't held."""
 
